@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from cellweave.llm import exact_dedup, language_id, ngram_join, packing, pii, tokens
+from cellweave.llm import exact_dedup, language_id, ngram_join, packing, pii, tokens, vector_dedup
 from cellweave.llm.tables import read
 
 VOCAB = "byte_bpe_50k.json"
@@ -20,6 +20,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_files(spark, f"{sf_dir}/documents.parquet").drop("keep_file")
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.link(read(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(read(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -48,7 +52,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_ngram_jaccard_join, op5_pii, op7_best_fit_packing, op8_language_id, op9_token_counts, op10_bpe)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_embedding_near_dedup, op4_ngram_jaccard_join, op5_pii, op7_best_fit_packing, op8_language_id, op9_token_counts, op10_bpe)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
