@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from cellweave.llm import exact_dedup, language_id, ngram_join, packing, pii, tokens, vector_dedup
+from cellweave.llm import exact_dedup, language_id, license_scan, ngram_join, packing, pii, secrets_scan, tokens, vector_dedup
 from cellweave.llm.tables import read
 
 VOCAB = "byte_bpe_50k.json"
@@ -24,6 +24,10 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.link(read(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(read(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -32,6 +36,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCAB), capacity=2048, end_id=0)
 
@@ -52,7 +60,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_embedding_near_dedup, op4_ngram_jaccard_join, op5_pii, op7_best_fit_packing, op8_language_id, op9_token_counts, op10_bpe)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_embedding_near_dedup, op3_secret_scan, op4_ngram_jaccard_join, op5_pii, op6_license_scan, op7_best_fit_packing, op8_language_id, op9_token_counts, op10_bpe)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -65,4 +73,4 @@ FROM d JOIN g ON d.t = g.t
 """
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _EXACT_DEDUP}
+    return {"op1_exact_dedup": _EXACT_DEDUP, "op3_secret_scan": secrets_scan.oracle(), "op6_license_scan": license_scan.oracle()}
