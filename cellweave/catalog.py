@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "nation_counts"
+from cellweave.plans import candidates, corpora, evaluation, merges, reasoning
+from cellweave.plans.registry import REGISTRY
+
+FLAGSHIP = candidates.FLAGSHIP
+_MODULES = (candidates, corpora, evaluation, merges, reasoning)
 
 
 def queries() -> dict:
-    return {}
+    return {name: q.run for name, q in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q.sql for name, q in REGISTRY.items() if q.sql}

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cellweave.functions.text import WS, blank_if_null, collapse, is_blank, strip, words
+from cellweave.functions.text import WS, blank_if_null, collapse, is_blank, let, strip, words
 
 ENTITY = r"(?is)<\s*[^<>]+?\s*\[(?:DESC|DESCRIPTION)\]\s*[^<>]*?\s*\[TYPE\]\s*[^<>]*?>"
 
@@ -107,15 +107,21 @@ def is_final_line(s: Column) -> Column:
 def distinct_sentences(parts: Column) -> Column:
     """First of each group that is equal up to case and white space, in order."""
     key = lambda s: collapse(F.lower(s))
-    keys = F.transform(parts, key)
-    return F.filter(parts, lambda s, i: (key(s) != "") & (F.array_position(keys, key(s)) == i + 1))
+    keyed = F.transform(parts, lambda s: F.struct(key(s).alias("k"), s.alias("s")))
+
+    def firsts(kept: Column) -> Column:
+        return let(F.transform(kept, lambda x: x["k"]), lambda keys: F.transform(F.filter(kept, lambda x, i: (x["k"] != "") & (F.array_position(keys, x["k"]) == i + 1)), lambda x: x["s"]))
+
+    return let(keyed, firsts)
 
 
 def repeat_ratio(x: Column, n: int) -> Column:
     """1 - distinct / all runs of n words; 0 with n words or fewer."""
-    w = words(x)
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.size(w) <= n, F.lit(0.0)).otherwise(1.0 - F.size(F.array_distinct(runs)) / F.size(runs))
+    def ratio(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) <= n, F.lit(0.0)).otherwise(let(runs, lambda r: 1.0 - F.size(F.array_distinct(r)) / F.size(r)))
+
+    return let(words(x), ratio)
 
 
 def estimated_tokens(x: Column) -> Column:
@@ -137,25 +143,34 @@ def marker_form(x: Column) -> Column:
 def answer_form(x: Column) -> Column:
     """Canonical answer: the last entity after the reasoning if there is one, else the fullest <...> shape, with one
     spelling of markers, no quotes round the name, in one pair of angle brackets; empty if nothing is left."""
-    x = F.regexp_replace(strip(blank_if_null(x)), r"(?i)</?s>", " ")
-    post = F.regexp_extract(x, r"(?is)^.*</think>(.*)$", 1)
-    late = F.regexp_extract_all(post, F.lit(r"(?s)<[^<>]+>"), F.lit(0))
-    x = F.when(x.rlike(r"(?i)</think>") & (F.size(late) > 0), F.element_at(late, -1)).otherwise(x)
-    x = F.regexp_replace(x, r"(?i)\[\s*(?:description|desc)\s*\]", "[DESC]")
-    x = collapse(F.regexp_replace(x, r"(?i)\[\s*type\s*\]", "[TYPE]"))
-    shapes = [r"(?is)<\s*[^<>]+?\s*\[DESC\]\s*[^<>]+?\s*\[TYPE\]\s*[^<>]+?>", r"(?is)<\s*[^<>]+?\s*\[DESC\]\s*[^<>]+?>", r"(?is)<\s*[^<>]+?>"]
-    found = F.coalesce(*(F.nullif(F.regexp_extract(x, p, 0), F.lit("")) for p in shapes))
-    x = F.coalesce(found, F.when(F.contains(x, F.lit("<")), F.regexp_extract(x, r"(?s)(<.*)$", 1)).otherwise(x))
-    core = F.regexp_replace(collapse(x), r"^[ <>]+|[ <>]+$", "")
-    name = strip(F.regexp_extract(core, r"(?is)^(.*?)(\[(?:DESC|DESCRIPTION|TYPE)\].*)?$", 1))
-    tail = F.regexp_extract(core, r"(?is)^.*?(\[(?:DESC|DESCRIPTION|TYPE)\].*)$", 1)
-    name = F.when((F.length(name) >= 2) & name.rlike(r"(?s)^('.*'|\".*\")$"), strip(F.substring(name, F.lit(2), F.length(name) - 2))).otherwise(name)
-    return F.when(core == "", "").otherwise(F.concat(F.lit("<"), F.concat_ws(" ", F.nullif(name, F.lit("")), F.nullif(tail, F.lit(""))), F.lit(">")))
+    def late(x: Column) -> Column:
+        post = F.regexp_extract(x, r"(?is)^.*</think>(.*)$", 1)
+        found = F.regexp_extract_all(post, F.lit(r"(?s)<[^<>]+>"), F.lit(0))
+        return F.when(x.rlike(r"(?i)</think>"), F.coalesce(let(found, lambda f: F.get(f, F.size(f) - 1)), x)).otherwise(x)
+
+    def markers(x: Column) -> Column:
+        x = F.regexp_replace(x, r"(?i)\[\s*(?:description|desc)\s*\]", "[DESC]")
+        return collapse(F.regexp_replace(x, r"(?i)\[\s*type\s*\]", "[TYPE]"))
+
+    def shaped(x: Column) -> Column:
+        shapes = [r"(?is)<\s*[^<>]+?\s*\[DESC\]\s*[^<>]+?\s*\[TYPE\]\s*[^<>]+?>", r"(?is)<\s*[^<>]+?\s*\[DESC\]\s*[^<>]+?>", r"(?is)<\s*[^<>]+?>"]
+        found = F.coalesce(*(F.nullif(F.regexp_extract(x, p, 0), F.lit("")) for p in shapes))
+        return F.coalesce(found, F.when(F.contains(x, F.lit("<")), F.regexp_extract(x, r"(?s)(<.*)$", 1)).otherwise(x))
+
+    def wrapped(core: Column) -> Column:
+        tail = F.regexp_extract(core, r"(?is)^.*?(\[(?:DESC|DESCRIPTION|TYPE)\].*)$", 1)
+        name = strip(F.regexp_extract(core, r"(?is)^(.*?)(\[(?:DESC|DESCRIPTION|TYPE)\].*)?$", 1))
+        bare = let(name, lambda n: F.when((F.length(n) >= 2) & n.rlike(r"(?s)^('.*'|\".*\")$"), strip(F.substring(n, F.lit(2), F.length(n) - 2))).otherwise(n))
+        return F.when(core == "", "").otherwise(F.concat(F.lit("<"), F.concat_ws(" ", F.nullif(bare, F.lit("")), F.nullif(tail, F.lit(""))), F.lit(">")))
+
+    x = let(F.regexp_replace(strip(blank_if_null(x)), r"(?i)</?s>", " "), late)
+    x = let(markers(x), shaped)
+    return let(F.regexp_replace(collapse(x), r"^[ <>]+|[ <>]+$", ""), wrapped)
 
 
 def constrained(pred: Column, candidates: Column) -> Column:
     """The first candidate of the same canonical form, else the prediction."""
-    same = F.filter(candidates, lambda c: answer_form(c) == answer_form(pred))
+    same = let(answer_form(pred), lambda form: F.filter(candidates, lambda c: answer_form(c) == form))
     return F.coalesce(F.get(same, F.lit(0)), pred)
 
 

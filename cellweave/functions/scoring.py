@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cellweave.functions.text import tokens
+from cellweave.functions.text import let, tokens
 
 # Weights of the candidate score.
 WEIGHTS = {"exact": 3.8, "contains": 1.3, "sim": 2.3, "prior": 1.8, "type": 1.0, "ctx": 0.9, "bm25": 1.4}
@@ -106,3 +106,8 @@ def gram_cosine(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.array_intersect(a, b), F.lit(0.0), lambda s, g: s + count(a, g) * count(b, g))
     norm = lambda v: F.sqrt(F.aggregate(F.array_distinct(v), F.lit(0.0), lambda s, g: s + F.pow(count(v, g), F.lit(2.0))))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(dot / (norm(a) * norm(b)))
+
+
+def name_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two names by their character 3- and 4-grams."""
+    return let(char_ngrams(a), lambda x: let(char_ngrams(b), lambda y: gram_cosine(x, y)))

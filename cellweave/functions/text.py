@@ -10,6 +10,11 @@ from pyspark.sql.functions import pandas_udf
 WS = r"(?U)[\s\x1c-\x1f]"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once; inside a lambda an expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank_if_null(x: Column) -> Column:
     return F.coalesce(x.cast("string"), F.lit(""))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from cellweave.functions import reasoning as R
+from cellweave.functions.text import let
 
 
 def accuracy(df: DataFrame, by: list[str] | None = None, gold: str = "gold", prediction: str = "prediction") -> DataFrame:
@@ -75,7 +76,7 @@ def paired_changes(df: DataFrame, before: str, after: str) -> DataFrame:
 
 def outside_candidates(df: DataFrame, prediction: str, candidates: str) -> DataFrame:
     """Rows whose prediction is none of the candidates, in canonical form."""
-    same = F.exists(candidates, lambda c: R.answer_form(c) == R.answer_form(F.col(prediction)))
+    same = let(R.answer_form(F.col(prediction)), lambda form: F.exists(candidates, lambda c: R.answer_form(c) == form))
     return df.where(~same)
 
 

@@ -52,7 +52,8 @@ def kept(df: DataFrame, mode: str = "all") -> DataFrame:
 
 def reason_counts(df: DataFrame, most: int = 20) -> DataFrame:
     """The commonest reasons."""
-    counts = df.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    # explode would imply a filter on the reasons, below which they would be computed once more.
+    counts = df.select(F.explode_outer("reasons").alias("reason")).where(F.col("reason").isNotNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.col("n").desc(), "reason").limit(most)
 
 

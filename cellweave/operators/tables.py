@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.functions.text import blank_if_null, clean_text, collapse, page_title, strip
+from cellweave.functions.text import blank_if_null, clean_text, collapse, let, page_title, strip
 
 
 def cell(matrix: Column, row: Column, col: Column) -> Column:
@@ -94,10 +94,14 @@ def seg_rows(seg: Column) -> Column:
 def find_entity(seg: Column, mention: Column, column_name: Column) -> Column:
     """struct(row, col) from 0: the column by header name, and the first row whose cell there contains the mention;
     null if there is none."""
-    col = F.array_position(F.transform(seg_header(seg), F.lower), F.lower(column_name)) - 1
-    holds = F.transform(seg_rows(seg), lambda r: F.contains(F.lower(F.coalesce(F.get(r["cells"], col.cast("int")), F.lit(""))), F.lower(mention)))
-    row = F.array_position(holds, F.lit(True)) - 1
-    return F.when((col >= 0) & (row >= 0) & (mention != ""), F.struct(row.cast("int").alias("row"), col.cast("int").alias("col")))
+    col = F.array_position(F.transform(seg_header(seg), F.lower), F.lower(column_name)).cast("int") - 1
+
+    def place(at: Column) -> Column:
+        holds = F.transform(seg_rows(seg), lambda r: F.contains(F.lower(F.coalesce(F.get(r["cells"], at), F.lit(""))), F.lower(mention)))
+        return F.struct((F.array_position(holds, F.lit(True)).cast("int") - 1).alias("row"), at.alias("col"))
+
+    found = let(col, place)
+    return F.when((mention != "") & (found["col"] >= 0) & (found["row"] >= 0), found)
 
 
 def shifted_window(rows: Column, at: Column, size: int = 10, before: int = 4) -> Column:
@@ -115,7 +119,11 @@ def clipped_window(rows: Column, at: Column, before: int = 4, after: int = 6) ->
 
 def simplify(seg: Column, at: Column) -> Column:
     """Keep a window of rows; the entity's row stays as it is, others keep the entity's column only."""
-    kept = shifted_window(seg_rows(seg), at["row"])
-    chosen = F.get(seg_rows(seg), at["row"])["number"]
-    line = lambda r: F.when((r["number"] == chosen) | (F.size(r["cells"]) <= at["col"]), r["text"]).otherwise(F.concat(F.lit("row "), r["number"].cast("string"), F.lit(": "), F.get(r["cells"], at["col"])))
-    return F.when(at.isNotNull(), collapse(F.concat(seg_prefix(seg), F.array_join(F.transform(kept, line), " [SEP] "))))
+    def lines(rows: Column) -> Column:
+        def short(a: Column) -> Column:
+            line = lambda r: F.when((r["number"] == F.get(rows, a["row"])["number"]) | (F.size(r["cells"]) <= a["col"]), r["text"]).otherwise(F.concat(F.lit("row "), r["number"].cast("string"), F.lit(": "), F.get(r["cells"], a["col"])))
+            return F.transform(shifted_window(rows, a["row"]), line)
+
+        return let(at, short)
+
+    return F.when(at.isNotNull(), collapse(F.concat(seg_prefix(seg), F.array_join(let(seg_rows(seg), lines), " [SEP] "))))
