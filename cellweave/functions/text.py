@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 WS = r"(?U)[\s\x1c-\x1f]"
@@ -37,7 +38,7 @@ def is_blank(x: Column) -> Column:
     return strip(blank_if_null(x)) == ""
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _without_marks(x: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining characters; there is no SQL function for it."""
     return x.str.normalize("NFKD").str.replace(r"[̀-ͯ҃-֑҇-ֽً-ٟऀ-ः᪰-᫿᷀-᷿⃐-⃿゙゚︠-︯]", "", regex=True)

@@ -7,6 +7,7 @@ from math import comb
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from cellweave.functions import reasoning as R
@@ -57,7 +58,7 @@ def nearest_rank(df: DataFrame, value: str, shares: list[float], by: list[str] |
     return ranked.groupBy(*by).agg(*at)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def mcnemar(broken: pd.Series, fixed: pd.Series) -> pd.Series:
     """Two-sided exact test of paired changes."""
 
