@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from cellweave.plans import candidates, corpora, evaluation, merges, reasoning
+from cellweave.plans import candidates, corpora, evaluation, merges, reasoning, samples
 from cellweave.plans.registry import REGISTRY
 
 FLAGSHIP = candidates.FLAGSHIP
-_MODULES = (candidates, corpora, evaluation, merges, reasoning)
+_MODULES = (candidates, corpora, evaluation, merges, reasoning, samples)
 
 
 def queries() -> dict:
