@@ -1,17 +1,20 @@
 """A training corpus from raw documents: language ID, exact dedup, near dedup, PII redaction, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents.
+one's docs. All but the last return the columns of documents. A stage's scratch tables go when the next one begins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm import exact_dedup, language_id, ngram_join, packing, pii
-from cellweave.llm.scratch import cut
+from cellweave.llm.scratch import cut, drop_owned, owned_by
 from cellweave.llm.tables import read
 
 _BROADCAST_IDS = 200_000  # ids of dropped rows sent to all tasks; more are joined by a shuffle
@@ -23,6 +26,17 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(gone) if gone.count() <= _BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)
 
 
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_owned(spark, __name__)
+        with owned_by(__name__):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: no text, or no letter in it."""
     model = language_id.train(docs, public_tokenizers.path("piece_bpe_32k.model"), ~language_id.held_out())
@@ -30,23 +44,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(docs.columns)
 
 
+@_stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal text the one with the largest doc_id stays."""
     return _without(docs, exact_dedup.dedup(docs).where(~F.col("kept")))
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shingles of five words and a similarity of 0.8 or more the smallest doc_id stays."""
     groups = ngram_join.join_documents(docs, width=5, percent=80)
     return _without(docs, groups.where(F.col("doc_id") != F.col("component_id")))
 
 
+@_stage
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put the kind in place of personal data; n_chars follows the text."""
     clean = pii.redact(docs)
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place the documents' tokens in sequences of at most 2048."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
