@@ -26,17 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellweave.llm import shingles
 from cellweave.llm.components import components
-from cellweave.llm.scratch import cut
+from cellweave.llm.scratch import cut, drop_table, sweep
 
 _SKETCH = 8  # longs of a parity sketch
 _FRAGMENTS = 8  # fragments in which overlaps are counted
-_BROADCAST_IDS = 200_000  # ids of candidates sent to all tasks; more are joined by a shuffle
+_BROADCAST_ROWS = 200_000  # candidate ids, or pairs, sent to all tasks; more are joined by a shuffle
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 
@@ -79,9 +79,11 @@ def _bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def _summaries(df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """Per row: id, n, fp (of the set), sigs, sketch."""
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("sigs", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
+def _summaries(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, filed: bool) -> DataFrame:
+    """Per row: id, n, fp (of the set), and if filed sigs, sketch."""
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType())])
+    if filed:
+        schema = schema.add("sigs", T.ArrayType(T.LongType())).add("sketch", T.ArrayType(T.LongType()))
     levels = _levels(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,10 +94,12 @@ def _summaries(df: DataFrame, id_col: str, text_col: str, width: int, percent: i
                 for own in shingles.sets(_bytes(batch, "text"), width):
                     n.append(len(own))
                     fp.append(shingles.fingerprint(own) if len(own) else None)
-                    sigs.append(signatures(own, percent, levels).view(np.int64) if len(own) else None)
-                    sketches.append(sketch(own) if len(own) else None)
+                    if filed:
+                        sigs.append(signatures(own, percent, levels).view(np.int64) if len(own) else None)
+                        sketches.append(sketch(own) if len(own) else None)
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sigs, longs), pa.array(sketches, longs)], names=schema.names)
+                more = [pa.array(sigs, longs), pa.array(sketches, longs)] if filed else []
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), *more], names=schema.names)
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -133,6 +137,11 @@ def _may_link(percent: int) -> Column:
     return sizes & ((100 + percent) * differ <= (100 - percent) * both)
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= _BROADCAST_ROWS else df
+
+
 class _Verifier:
     """Reads the sets of candidate classes and sums partial overlaps."""
 
@@ -143,13 +152,13 @@ class _Verifier:
         """Those of the pairs (a, b, n_a, n_b) that link."""
         pairs = cut(pairs.select("a", "b", "n_a", "n_b"), "pairs")
         needed = cut(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct().join(self.classes, "fp").select("fp", F.col("min_id").alias("id")), "needed")
-        ids = needed.select("id").distinct()
-        rows = self.docs.join(F.broadcast(ids) if needed.count() <= _BROADCAST_IDS else ids, "id", "left_semi")
-        own = _segments(rows, self.width).join(needed, ["id", "fp"], "left_semi").drop("id").dropDuplicates(["fp", "fragment"])
+        rows = self.docs.join(_sent(needed.select("id")), "id", "left_semi")
+        own = _segments(rows, self.width).join(_sent(needed), ["id", "fp"], "left_semi").drop("id").dropDuplicates(["fp", "fragment"])
         own = cut(own, "segments")
+        sweep(self.docs.sparkSession)
         left = own.select(F.col("fp").alias("a"), "fragment", F.col("segment").alias("of_a"))
         right = own.select(F.col("fp").alias("b"), "fragment", F.col("segment").alias("of_b"))
-        partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("of_a", "of_b")).alias("common"))
+        partial = left.join(_sent(pairs), "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("of_a", "of_b")).alias("common"))
         total = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("common"))
         return cut(total.where(100 * F.col("common") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b"), "links")
 
@@ -157,15 +166,23 @@ class _Verifier:
 def join_documents(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, n_shingles, component_id (the smallest id reachable by links of at least percent/100)."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    seen = cut(_summaries(df, id_col, text_col, width, percent), "sets")
-    known = seen.where(F.col("fp").isNotNull() & F.col("id").isNotNull())
-    classes = cut(known.groupBy("fp").agg(F.min("id").alias("min_id"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "classes")
-
-    # Buckets with two classes or more. Eight bytes of the class are enough to see that.
+    spark = df.sparkSession
+    # The sets are made twice, as keeping each row's buckets until the end would take more disk than the texts.
+    seen = cut(_summaries(df, id_col, text_col, width, percent, filed=False), "sets")
+    known = _summaries(df, id_col, text_col, width, percent, filed=True).where(F.col("fp").isNotNull() & F.col("id").isNotNull())
+    filed_classes = cut(known.groupBy("fp").agg(F.min("id").alias("min_id"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("sigs").alias("sigs")), "buckets")
+    classes = cut(filed_classes.select("fp", "min_id", "n", "sketch", F.conv(F.hex(F.substring("fp", 1, 7)), 16, 10).cast("long").alias("c")), "classes")
+    sweep(spark)
+
+    # Buckets with two classes or more, each class once. Eight bytes of a class are enough to tell it from others in
+    # its bucket; a class elsewhere that shares them only becomes one more candidate.
+    bucket = Window.partitionBy("sig")
     short = F.conv(F.hex(F.substring("fp", 1, 7)), 16, 10).cast("long")
-    filed = known.select("fp", F.explode("sigs").alias("sig"))
-    live = known.select(short.alias("c"), "sigs").select("c", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") < F.col("hi")).select("sig")
-    members = cut(filed.join(live, "sig").select("sig", "fp").distinct(), "members")
+    filed = filed_classes.select(short.alias("c"), "sigs").select("c", F.explode("sigs").alias("sig"))
+    live = filed.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where(F.col("lo") < F.col("hi"))
+    members = cut(live.select("sig", "c").join(classes.select("c", "fp"), "c").select("sig", "fp"), "members")
+    drop_table(filed_classes)
+    sweep(spark)
 
     verifier = _Verifier(docs, classes, width, percent)
     of = lambda side: classes.select(F.col("fp").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))

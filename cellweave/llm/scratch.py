@@ -6,8 +6,11 @@ under the driver's temp directory is used, which is right for ``local[*]`` and n
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,8 +24,38 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+_owned: dict[str, list[str]] = {}
+_owner: list[str] = []
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+    if _owner:
+        _owned.setdefault(_owner[-1], []).append(path)
+    return path
+
+
+@contextmanager
+def owned_by(name: str) -> Iterator[None]:
+    """Scratch tables made inside belong to `name`."""
+    _owner.append(name)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
+def drop_owned(spark: SparkSession, name: str) -> None:
+    """Remove all tables of an owner; for when what was made from them has been written."""
+    for path in _owned.pop(name, []):
+        drop(spark, path)
+    sweep(spark)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps, which it does once their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
