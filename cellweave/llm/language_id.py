@@ -30,6 +30,8 @@ UNDETERMINED = "und"
 START = "▁"
 _WORDS = regex.compile(r"\p{L}+").findall
 _CACHE_ROWS = 400_000
+_SHORT = 40  # longer words are scored one by one, with scaling
+_BLOCK_TEXTS = 256  # texts whose new words are scored together
 
 
 def vocabulary_pieces(path: str) -> list[str]:
@@ -48,6 +50,22 @@ class Unigrams:
         self.langs, self.pieces, self.table, self.floor = langs, pieces, table, floor
         self.rows = dict(zip(pieces, table, strict=True))
         self.longest = max(map(len, pieces), default=1)
+        self.at = {p: i for i, p in enumerate(pieces)}
+
+    def forward_many(self, words: list[str]) -> np.ndarray:
+        """forward() of words of one length, short enough to need no scaling; a row per word."""
+        texts = [START + w for w in words]
+        size, n, get = len(texts[0]), len(texts), self.at.get
+        table = np.vstack([self.table, self.floor])  # the floor's row stands last
+        alpha = np.zeros((size + 1, n, len(self.langs)))
+        alpha[0] = 1
+        for end in range(1, size + 1):
+            alpha[end] = alpha[end - 1] * table[np.fromiter((get(w[end - 1], -1) for w in texts), np.int64, n)]
+            for start in range(max(0, end - self.longest), end - 1):
+                at = np.fromiter((get(w[start:end], -1) for w in texts), np.int64, n)
+                hit = np.flatnonzero(at >= 0)
+                alpha[end, hit] += alpha[start, hit] * table[at[hit]]
+        return np.log(np.maximum(alpha[size], 1e-300))
 
     def forward(self, word: str) -> np.ndarray:
         """Log probability of a word per language: the sum over all its segmentations."""
@@ -117,26 +135,38 @@ class _Scores(dict):
         super().__init__()
         self.model, self.table = model, np.empty((_CACHE_ROWS, len(model.langs)))
 
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        self.table[at] = self.model.forward(word)
-        if len(word) <= 64:
-            self[word] = at
-        return at
-
-    def of(self, words: list[str]) -> np.ndarray:
-        total = np.zeros(len(self.model.langs))
-        for a in range(0, len(words), 10_000):
-            block = words[a : a + 10_000]
-            if len(self) + len(block) + 1 >= _CACHE_ROWS:
-                self.clear()
-            long = [w for w in block if len(w) > 64]
-            if long:
-                total += sum(self.model.forward(w) for w in long)
-                block = [w for w in block if len(w) <= 64]
-            total += self.table[np.fromiter(map(self.__getitem__, block), np.int64, len(block))].sum(axis=0)
+    def _learn(self, words: set[str]) -> None:
+        by_size: dict[int, list[str]] = defaultdict(list)
+        for w in words:
+            by_size[len(w)].append(w)
+        for own in by_size.values():
+            for a in range(0, len(own), 2000):
+                part = own[a : a + 2000]
+                first = len(self)
+                self.table[first : first + len(part)] = self.model.forward_many(part)
+                self.update(zip(part, range(first, first + len(part)), strict=True))
+
+    def _sum(self, words: list[str]) -> np.ndarray:
+        short = [w for w in words if len(w) <= _SHORT]
+        total = self.table[np.fromiter(map(self.__getitem__, short), np.int64, len(short))].sum(axis=0)
+        for w in words if len(short) < len(words) else ():
+            if len(w) > _SHORT:
+                total = total + self.model.forward(w)
         return total
 
+    def of(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Summed scores of each text's words; words that are new to the table are learned together."""
+        short = {w for words in texts for w in words if len(w) <= _SHORT}
+        if len(short) > _CACHE_ROWS:  # more than the table holds: in halves
+            if len(texts) > 1:
+                return self.of(texts[: len(texts) // 2]) + self.of(texts[len(texts) // 2 :])
+            middle = len(texts[0]) // 2
+            return [self.of([texts[0][:middle]])[0] + self.of([texts[0][middle:]])[0]]
+        if len(self) + len(short.difference(self)) > _CACHE_ROWS:
+            self.clear()
+        self._learn(short.difference(self))
+        return [self._sum(words) for words in texts]
+
 
 def train(df: DataFrame, vocab_path: str, eligible: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 200) -> Unigrams:
     """Learn from at most per_language eligible rows of each language (the smallest hashes of the id)."""
@@ -169,16 +199,13 @@ def predict(df: DataFrame, model: Unigrams, text_col: str = "text", pass_cols: t
         langs = scores.model.langs
         for batch in batches:
             pred, share = [], []
-            for text in batch.column("__text"):
-                words = _WORDS((text.as_py() or "").lower()) if langs else []
-                if not words:
-                    pred.append(UNDETERMINED)
-                    share.append(0.0)
-                    continue
-                logs = scores.of(words)
-                best = int(logs.argmax())
-                pred.append(langs[best])
-                share.append(float(1 / np.exp(np.minimum(logs - logs[best], 0)).sum()))
+            column = batch.column("__text")
+            for at in range(0, len(column), _BLOCK_TEXTS):
+                texts = [_WORDS((x.as_py() or "").lower()) if langs else [] for x in column[at : at + _BLOCK_TEXTS]]
+                for words, logs in zip(texts, scores.of(texts), strict=True):
+                    best = int(logs.argmax()) if words else -1
+                    pred.append(langs[best] if words else UNDETERMINED)
+                    share.append(float(1 / np.exp(np.minimum(logs - logs[best], 0)).sum()) if words else 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(pred, pa.string()), pa.array(share, pa.float64())], names=schema.names)
 
     return df.select(*pass_cols, F.col(text_col).alias("__text")).mapInArrow(run, schema)
