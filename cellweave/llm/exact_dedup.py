@@ -53,7 +53,9 @@ def _stored(spark: SparkSession, path: str, id_col: str, text_col: str, digest,
     stream = spark.readStream.schema(schema).parquet(_streamable(spark, path))
     seen = stream.select(digest(normalised(F.col(text_col))).alias("digest"), F.struct(F.col(id_col).alias("id"), F.col("_metadata.file_path").alias("file")).alias("at"))
     state = seen.groupBy("digest").agg(F.max("at").alias("at"), F.count(F.lit(1)).alias("n"))
-    keys = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    # Each partition's store would reserve megabytes of disk ahead of need, and upload snapshots where changes do.
+    rocks = "spark.sql.streaming.stateStore.rocksdb"
+    keys = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false", f"{rocks}.allowFAllocate": "false", f"{rocks}.changelogCheckpointing.enabled": "true"}
     before = {k: spark.conf.get(k, None) for k in keys}
     try:
         for k, v in keys.items():
