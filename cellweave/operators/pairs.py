@@ -52,3 +52,23 @@ def length_filters(n_prompt: Column, n_chosen: Column, n_rejected: Column, most:
 def by_correctness(df: DataFrame, path: str) -> None:
     """Write correct and wrong rows to folders of their own."""
     df.withColumn("is_correct", F.col("correct") == 1).write.partitionBy("is_correct").json(path)
+
+
+def first_text(*fields: Column) -> Column:
+    """The first field that is a string, an empty one included; empty if none is."""
+    return F.coalesce(*fields, F.lit(""))
+
+
+def has_reasoning(*fields: Column) -> Column:
+    """Whether the first string of the fields has a think block that isn't empty."""
+    return F.coalesce(R.think_of(first_text(*fields)) != "", F.lit(False))
+
+
+def training_lengths(n_prompt: Column, n_output: Column, most: int, most_output: int) -> list[tuple[str, Column]]:
+    """Funnel steps for supervised samples: too long, nothing left to learn after the cut, or too long an answer."""
+    return [("all_masked", n_prompt >= most), ("too_long", n_prompt + n_output > most), ("output_too_long", n_output > most_output)]
+
+
+def wrong_lines(df: DataFrame, order: str = "ord", raw: str = "raw_prediction") -> DataFrame:
+    """Places of rows that are wrong, and of those whose raw text never closes its reasoning."""
+    return df.select(F.col(order), (F.col("correct") == 0).alias("wrong"), ~F.contains(F.coalesce(F.col(raw), F.lit("")), F.lit("</think>")).alias("unclosed")).where(F.col("wrong") | F.col("unclosed"))

@@ -131,3 +131,13 @@ def test_writers(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "dual/audit")).count() == 2
     pairs.by_correctness(df.withColumn("correct", F.col("a") - 1), str(tmp_path / "split"))
     assert spark.read.json(str(tmp_path / "split/is_correct=true")).first()["b"] == "é"
+
+
+def test_sample_filters(spark):
+    df = spark.createDataFrame([(1, None, "<think>a</think><b>", 0, "x"), (2, "", "<think>a</think>", 1, "</think>"), (3, "<think> </think>", None, 1, None)], "ord long, o string, p string, correct int, raw_prediction string")
+    got = df.select(pairs.has_reasoning(F.col("o"), F.col("p")).alias("h"), pairs.first_text(F.col("o"), F.col("p")).alias("t")).collect()
+    assert [r["h"] for r in got] == [True, False, False] and got[1]["t"] == ""
+    assert [tuple(r) for r in pairs.wrong_lines(df).orderBy("ord").collect()] == [(1, True, True), (3, False, True)]
+    lengths = spark.createDataFrame([(5, 1), (9, 3), (10, 1), (2, 7)], "p int, o int")
+    steps = pairs.training_lengths(F.col("p"), F.col("o"), 10, 6)
+    assert [r["drop_reason"] for r in pairs.funnel(lengths, steps).collect()] == [None, "too_long", "all_masked", "output_too_long"]
