@@ -71,4 +71,4 @@ def training_lengths(n_prompt: Column, n_output: Column, most: int, most_output:
 
 def wrong_lines(df: DataFrame, order: str = "ord", raw: str = "raw_prediction") -> DataFrame:
     """Places of rows that are wrong, and of those whose raw text never closes its reasoning."""
-    return df.select(F.col(order), (F.col("correct") == 0).alias("wrong"), ~F.contains(F.coalesce(F.col(raw), F.lit("")), F.lit("</think>")).alias("unclosed")).where(F.col("wrong") | F.col("unclosed"))
+    return df.select(F.col(order), (F.col("correct") == 0).alias("wrong"), (~F.contains(F.coalesce(F.col(raw), F.lit("")), F.lit("</think>"))).alias("unclosed")).where(F.col("wrong") | F.col("unclosed"))
