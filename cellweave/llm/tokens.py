@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellweave.llm import bpe_automaton
+from cellweave.llm.scratch import cut
 
 
 def _texts(batch: pa.RecordBatch, name: str) -> Iterator[str]:
@@ -99,8 +100,9 @@ def length_histogram(lengths: DataFrame, col: str = "n_tokens", block: int = 102
     """
     h = lengths.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
     h = h.withColumn("__tokens", F.col("n_tokens") * F.col("n_docs"))
+    # Written once: the sums read it several times, and the texts must not be encoded again for each.
+    h = cut(h.withColumnRenamed("__tokens", "own_tokens"), "histogram")
     at = F.floor(F.col("n_tokens") / block)
-    h = h.withColumnRenamed("__tokens", "own_tokens")
     h = _running(h, at, "n_tokens", {"docs_ge": "n_docs", "tokens_ge": "own_tokens"}, upward=False)
     h = _running(h, at, "n_tokens", {"docs_le": "n_docs", "tokens_le": "own_tokens"}, upward=True)
     total = F.col("docs_le") + F.col("docs_ge") - F.col("n_docs")
