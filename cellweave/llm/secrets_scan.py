@@ -12,6 +12,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import re._constants as sre
 import re._parser as parser
 from dataclasses import dataclass
@@ -116,9 +117,14 @@ def trigram_query(regex: str) -> Query:
 def build_index(texts: Column, df: DataFrame, rules=RULES) -> DataFrame:
     """The postings (trigram, text_hash) of the trigrams that the rules ask for."""
     asked = sorted({t for r in rules for alternative in trigram_query(r.regex) or [] for t in alternative})
+    # One pass finds all trigrams where they start, overlaps included; they branch on their first character.
+    by_first: dict[str, list[str]] = {}
+    for t in asked:
+        by_first.setdefault(t[0], []).append(re.escape(t[1:]))
+    anywhere = "(?=(" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + "))"
     # Columns that aren't deterministic keep the filter that explode implies from computing all this again.
     low = df.select(F.xxhash64(texts).alias("text_hash"), F.lower(texts).alias("low"), F.spark_partition_id().alias("p"))
-    there = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in asked)))
+    there = F.array_distinct(F.regexp_extract_all("low", F.lit(anywhere), F.lit(1))) if asked else F.array().cast("array<string>")
     filed = low.select("text_hash", there.alias("there"), F.spark_partition_id().alias("p"))
     return filed.select("text_hash", F.explode("there").alias("trigram")).distinct()
 
