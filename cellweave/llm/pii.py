@@ -8,7 +8,7 @@ with offsets to a text with offsets:
 3. at and dot: "(at)", "[dot]", " at ... dot " become "@" and ".".
 
 Every output character remembers the source span it came from, so what the same detectors find in the normalised text
-maps back to code points of the source. A disguised span is added if it meets no base span.
+maps back to code points of the source. A disguised span is added unless a base span of its kind is equal to it or holds it.
 
 Null text counts as empty. Rows stand alone: repeated rows give repeated results, an empty table an empty one, and
 other columns pass or are ignored as the function says. All detectors are linear in the text's length.
@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -170,6 +171,12 @@ def _disguised(text: str) -> bool:
     return bool((not text.isascii() and _ODD.search(text)) or _SPELLED_HINT.search(text) or " dot " in low or _MARKED_AT.search(text) or _MARKED_DOT.search(text))
 
 
+def _inside(a: int, b: int, spans: list[tuple[int, int]]) -> bool:
+    """A span is equal to or inside one of `spans`, which are ascending and apart."""
+    at = bisect_right(spans, a, key=lambda s: s[0]) - 1
+    return at >= 0 and b <= spans[at][1]
+
+
 def spans(text: str) -> list[tuple[str, int, int, bool]]:
     """All spans as (kind, start, end, base), by kind as in KINDS, then start."""
     base = base_spans(text)
@@ -177,11 +184,10 @@ def spans(text: str) -> list[tuple[str, int, int, bool]]:
     if _disguised(text):
         m = _at_dot(_spelled(_characters(Mapped(text))))
         if m.text != text:
-            taken = sorted((a, b) for k in KINDS for a, b in base[k])
             for k, found in base_spans(m.text).items():
                 for a, b in found:
                     a, b = m.source(a, b)
-                    if not any(x < b and a < y for x, y in taken):
+                    if not _inside(a, b, base[k]):
                         out.append((k, a, b, False))
             out.sort(key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
     return out
