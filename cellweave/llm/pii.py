@@ -4,8 +4,8 @@ Base kinds are read off the text itself. The disguised ones come from a cascade
 with offsets to a text with offsets:
 
 1. characters: homoglyphs, full-width forms and digits of other scripts become ASCII; invisible characters go;
-2. spelled digits: a run of number words ("five five five ...") becomes its digits;
-3. at and dot: "(at)", "[dot]", " at ... dot " become "@" and ".".
+2. spelled digits: number words ("five five five ...") become their digits;
+3. at and dot: "(at)", "[dot]", " at ... dot " and a " dot " between digits or in a local part become "@" and ".".
 
 Every output character remembers the source span it came from, so what the same detectors find in the normalised text
 maps back to code points of the source. A disguised span is added unless a base span of its kind is equal to it or holds it.
@@ -124,26 +124,33 @@ _TABLE = _character_table()
 _ODD = re.compile("[" + "".join(map(re.escape, _TABLE)) + "]")
 _WORD = "|".join(sorted(NUMBER_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:{_WORD})(?:[ ,.-]{{1,2}}(?:{_WORD}))*+(?![A-Za-z0-9])", re.I)
-_SPELLED_HINT = re.compile(rf"\b(?:{_WORD})[ ,.-]{{1,2}}(?:{_WORD})[ ,.-]{{1,2}}(?:{_WORD})\b", re.I)
+# A number word beside another one or a digit; beside a dot in words the text is looked at anyway.
+_SPELLED_HINT = re.compile(rf"(?<![A-Za-z0-9])(?:{_WORD})[ ().,\t-]++(?:[0-9]|(?:{_WORD})(?![A-Za-z0-9]))|[0-9][ ().,\t-]++(?:{_WORD})(?![A-Za-z0-9])", re.I)
 _ONE = re.compile(_WORD, re.I)
+_BEFORE_AT = re.compile(r"[A-Za-z0-9._%+-]{0,256}+@")
 _MARKED_AT = re.compile(r"[ \t]?[\[({<][ \t]?at[ \t]?[\])}>][ \t]?", re.I)
 _MARKED_DOT = re.compile(r"[ \t]?[\[({<][ \t]?(?:dot|punkt|punto|point)[ \t]?[\])}>][ \t]?", re.I)
-# Bare words only as a whole address: name at host dot name.
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9][A-Za-z0-9._%+-]{0,63})([ \t]{1,3}at[ \t]{1,3})([A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}|[ \t]{1,3}dot[ \t]{1,3}[A-Za-z0-9-]{1,63}){0,7}[ \t]{1,3}dot[ \t]{1,3}[A-Za-z]{2,10})(?![A-Za-z0-9])", re.I)
+# Bare words only inside an identifier: between digits, or in name at host dot name.
 _BARE_DOT = re.compile(r"[ \t]{1,3}dot[ \t]{1,3}", re.I)
+_DIGIT_DOT = re.compile(r"(?<=[0-9])[ \t]{1,3}dot[ \t]{1,3}(?=[0-9])", re.I)
+_NAME = re.compile(r"[A-Za-z0-9._%+-]++(?:[ \t]{1,3}dot[ \t]{1,3}[A-Za-z0-9._%+-]++)*+", re.I)
+_BARE_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])(?:[ \t]{1,3}at[ \t]{1,3}|@)(?=[A-Za-z0-9-])", re.I)
+_HOST = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|[ \t]{1,3}dot[ \t]{1,3})[A-Za-z0-9-]++)*+", re.I)
+_LABEL = re.compile(r"[A-Za-z0-9-]+")
+_LAST_LABEL = re.compile(r"[A-Za-z]{2,10}")
 
 
 def _characters(m: Mapped) -> Mapped:
     return m.replace([(x.start(), x.end(), _TABLE[x[0]]) for x in _ODD.finditer(m.text)])
 
 
-def _spelled(m: Mapped) -> Mapped:
-    if not _SPELLED_HINT.search(m.text):
-        return m
+def _spelled(m: Mapped, least: int) -> Mapped:
+    """Runs of at least `least` number words as digits."""
     edits = []
     for run in _SPELLED.finditer(m.text):
         words = list(_ONE.finditer(m.text, *run.span()))
-        if len(words) < 3:
+        # Before a plain address two words may be prose.
+        if len(words) < least or (len(words) < 3 and _BEFORE_AT.match(m.text, run.end())):
             continue
         # Word by word, with the gap behind it, so that every digit keeps its own span.
         for w, after in zip(words, [*words[1:], None], strict=True):
@@ -154,21 +161,50 @@ def _spelled(m: Mapped) -> Mapped:
     return m.replace(edits)
 
 
+def _host_dots(text: str, at: int, plain: bool) -> tuple[int, list[tuple[int, int]]] | None:
+    """The end of the host at `at` and its bare dots; without `plain` it must end in a bare dot and a name."""
+    host = _HOST.match(text, at)
+    labels = list(_LABEL.finditer(text, *host.span()))
+    gaps = [(x.end(), y.start()) for x, y in zip(labels, labels[1:])]
+    bare = [text[a:b] != "." for a, b in gaps]
+    for n in reversed(range(len(gaps))):
+        if bare[n] and _LAST_LABEL.fullmatch(labels[n + 1][0]):
+            return labels[n + 1].end(), [g for g, is_bare in zip(gaps[: n + 1], bare) if is_bare]
+    n = bare.index(True) if True in bare else len(gaps)
+    return (labels[n].end(), []) if plain and n else None
+
+
 def _at_dot(m: Mapped) -> Mapped:
     low = m.text.lower()
     if "dot" not in low and not _MARKED_AT.search(m.text) and not _MARKED_DOT.search(m.text):
         return m
     m = m.replace(sorted([(*x.span(), "@") for x in _MARKED_AT.finditer(m.text)] + [(*x.span(), ".") for x in _MARKED_DOT.finditer(m.text)]))
-    edits = []
-    for x in _BARE.finditer(m.text):
-        edits.append((*x.span(2), "@"))
-        edits += [(*d.span(), ".") for d in _BARE_DOT.finditer(m.text, *x.span(3))]
+    if "dot" not in low:
+        return m
+    m = m.replace([(*x.span(), ".") for x in _DIGIT_DOT.finditer(m.text)])
+    names = {x.end(): x.start() for x in _NAME.finditer(m.text)}
+    edits, last = [], -1
+    for x in _BARE_AT.finditer(m.text):
+        if x.start() <= last or not (host := _host_dots(m.text, x.end(), x[0] == "@")):
+            continue
+        # What belongs to the address before stays with it.
+        edits += [(*d.span(), ".") for d in _BARE_DOT.finditer(m.text, names.get(x.start(), x.start()), x.start()) if d.start() > last]
+        last, dots = host
+        edits += [(*x.span(), "@"), *((*d, ".") for d in dots)]
     return m.replace(edits)
 
 
 def _disguised(text: str) -> bool:
     low = text if text.islower() else text.lower()
-    return bool((not text.isascii() and _ODD.search(text)) or _SPELLED_HINT.search(text) or " dot " in low or _MARKED_AT.search(text) or _MARKED_DOT.search(text))
+    return bool((not text.isascii() and _ODD.search(text)) or _SPELLED_HINT.search(text) or ("dot" in low and _BARE_DOT.search(text)) or _MARKED_AT.search(text) or _MARKED_DOT.search(text))
+
+
+def _plain_forms(text: str) -> list[Mapped]:
+    """The text without disguise: with all number words as digits, and with long runs of them only, as a host or a
+    last label may be a number word."""
+    m = _characters(Mapped(text))
+    forms = [_spelled(m, 1), _spelled(m, 3)]
+    return [_at_dot(x) for x in (forms if forms[0].text != forms[1].text else forms[:1])]
 
 
 def _inside(a: int, b: int, spans: list[tuple[int, int]]) -> bool:
@@ -182,14 +218,18 @@ def spans(text: str) -> list[tuple[str, int, int, bool]]:
     base = base_spans(text)
     out = [(k, a, b, True) for k in KINDS for a, b in base[k]]
     if _disguised(text):
-        m = _at_dot(_spelled(_characters(Mapped(text))))
-        if m.text != text:
-            for k, found in base_spans(m.text).items():
-                for a, b in found:
-                    a, b = m.source(a, b)
-                    if not _inside(a, b, base[k]):
-                        out.append((k, a, b, False))
-            out.sort(key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+        found: dict[str, set[tuple[int, int]]] = {k: set() for k in KINDS}
+        for m in _plain_forms(text):
+            if m.text != text:
+                for k, own in base_spans(m.text).items():
+                    found[k].update(m.source(a, b) for a, b in own)
+        for k, own in found.items():
+            end = -1
+            for a, b in sorted(own, key=lambda s: (s[0], -s[1])):
+                if b > end and not _inside(a, b, base[k]):
+                    out.append((k, a, b, False))
+                end = max(end, b)
+        out.sort(key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
     return out
 
 
