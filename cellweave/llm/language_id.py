@@ -211,6 +211,18 @@ def predict(df: DataFrame, model: Unigrams, text_col: str = "text", pass_cols: t
     return df.select(*pass_cols, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
+def lettered(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """df's rows whose text has a letter: those that predict() gives a language once a model has any."""
+    columns = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(columns.index(text_col))
+            yield batch.filter(pa.array([bool(_WORDS((x.as_py() or "").lower())) for x in texts], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 _held: dict[int, _Scores] = {}
 
 

@@ -38,8 +38,11 @@ def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[
 
 @_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: no text, or no letter in it."""
+    """Drop documents without a language: no text, or no letter in it. Where no labelled row may be learned from,
+    and so no language is known, the texts are held to the same rule without a model."""
     model = language_id.train(docs, public_tokenizers.path("piece_bpe_32k.model"), ~language_id.held_out())
+    if not model.langs:
+        return language_id.lettered(docs)
     found = language_id.predict(docs, model, pass_cols=tuple(docs.columns))
     return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(docs.columns)
 
