@@ -17,13 +17,20 @@ from cellweave.llm import exact_dedup, language_id, ngram_join, packing, pii
 from cellweave.llm.scratch import cut, drop_owned, owned_by
 from cellweave.llm.tables import read
 
-_BROADCAST_IDS = 200_000  # ids of dropped rows sent to all tasks; more are joined by a shuffle
+_BROADCAST_KEYS = 200_000  # keys of dropped rows sent to all tasks; more are joined by a shuffle
+_KEY = "__key"  # (doc_id, number of the row): tells rows apart whose doc_id is null or repeated, and sorts as doc_id does
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id is in `gone`."""
-    gone = cut(gone.select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= _BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key per row, written so that the keys stay as they are."""
+    return cut(docs.withColumn(_KEY, F.struct("doc_id", F.monotonically_increasing_id().alias("row"))), "keyed")
+
+
+def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """keyed less the rows whose key is in `gone`, without the keys."""
+    gone = cut(gone.select(F.col(f"{_KEY}.row").alias("__row")), "gone")
+    rows = keyed.withColumn("__row", F.col(f"{_KEY}.row"))
+    return rows.join(F.broadcast(gone) if gone.count() <= _BROADCAST_KEYS else gone, "__row", "left_anti").drop("__row", _KEY)
 
 
 def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
@@ -49,15 +56,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @_stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text the one with the largest doc_id stays."""
-    return _without(docs, exact_dedup.dedup(docs).where(~F.col("kept")))
+    """Of documents with equal text the one with the largest doc_id stays, and one row of it."""
+    keyed = _keyed(docs)
+    files = keyed.inputFiles()[0].rsplit("/", 1)[0]
+    return _without(keyed, exact_dedup.dedup_files(spark, files, id_col=_KEY).where(~F.col("kept")))
 
 
 @_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by shingles of five words and a similarity of 0.8 or more the smallest doc_id stays."""
-    groups = ngram_join.join_documents(docs, width=5, percent=80)
-    return _without(docs, groups.where(F.col("doc_id") != F.col("component_id")))
+    """Of documents linked by shingles of five words and a similarity of 0.8 or more the smallest doc_id stays, and one
+    row of it; a null doc_id is smaller than any other."""
+    keyed = _keyed(docs)
+    groups = ngram_join.join_documents(keyed, width=5, percent=80, id_col=_KEY)
+    return _without(keyed, groups.where(F.col(_KEY) != F.col("component_id")))
 
 
 @_stage

@@ -22,3 +22,14 @@ def test_language_stage_without_a_model(spark, lang):
     docs = frame(spark, [(i, t, lang) for i, t in zip(HELD_OUT, texts, strict=False)])
     got = corpus_pipeline.identify_language(spark, docs, "")
     assert sorted(r["text"] for r in got.collect()) == sorted(["clean text", "éa", "日本語"]) and got.columns == docs.columns
+
+
+@pytest.mark.parametrize("stage", ["drop_copies", "drop_near_copies"])
+def test_dedup_stages_with_null_and_repeated_ids(spark, stage):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    # Copies under null ids, a copy with the same id, a copy whose other row's id names a clean text too.
+    rows = [(None, a, "en"), (None, a, "en"), (3, b, "en"), (3, b, "en"), (5, c, "en"), (8, c, "en"), (5, d, "en"), (8, e, "en"), (None, "", "en")]
+    got = getattr(corpus_pipeline, stage)(spark, frame(spark, rows), "")
+    assert got.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
+    kept = 8 if stage == "drop_copies" else 5
+    assert sorted((r["text"], r["doc_id"] or 0) for r in got.collect()) == sorted([(a, 0), (b, 3), (c, kept), (d, 5), (e, 8), ("", 0)])
