@@ -9,6 +9,7 @@ from cellweave.functions import reasoning, scoring, text
 from cellweave.operators import merging, metrics, retrieval, sampling
 from cellweave.plans.registry import query, table
 
+_BROADCAST_PASSAGES = 10_000  # short passages sent to all tasks; more meet the texts in a Cartesian product
 _CLEAN = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 _WORDS = "list_filter(string_split_regex({}, '\\s+'), lambda x: x <> '')"
 
@@ -50,17 +51,23 @@ def u6_distinct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def p20_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage. A hash of the passage's first five words makes it an equi-join."""
+    """Documents that hold a benchmark passage. A hash of the passage's words two to six makes it an equi-join; passages
+    without six words and one more are looked for in every text."""
     def grams(words):
         return F.transform(words, lambda w, i: F.xxhash64(w, *(F.get(words, i + j) for j in range(1, 5))))
 
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.split("text", " ").alias("w"))
     # Inside a passage every word from the second to the one before the last stands between the same blanks in a text.
-    b = b.withColumn("w", F.slice("w", 2, 5)).select("item_id", "passage", F.when(F.size("w") == 5, F.xxhash64(*(F.get("w", F.lit(j)) for j in range(5)))).alias("g"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", " ").alias("w"), F.spark_partition_id().alias("p"))
+    short = b.where(F.size("w") < 7).select("item_id", "passage")
+    b = b.where(F.size("w") >= 7).select("item_id", "passage", F.xxhash64(*(F.get("w", F.lit(j)) for j in range(1, 6))).alias("g"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = docs.select("doc_id", "text", F.split("text", " ").alias("w"), F.spark_partition_id().alias("p"))
     d = d.select("doc_id", "text", grams(F.col("w")).alias("g"), F.spark_partition_id().alias("p"))
     d = d.select("doc_id", "text", F.explode(F.array_distinct("g")).alias("g"))
-    return d.join(b.where(F.col("g").isNotNull()), "g").where(F.contains("text", F.col("passage"))).select("item_id", "doc_id").distinct()
+    found = d.join(b, "g").where(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
+    if n := short.count():
+        found = found.unionByName(docs.join(F.broadcast(short) if n <= _BROADCAST_PASSAGES else short, F.contains("text", F.col("passage"))).select("item_id", "doc_id"))
+    return found.distinct()
 
 
 @query("""WITH v AS (SELECT label, min(vec_id) AS gold FROM embeddings GROUP BY 1), g AS (SELECT v.label, e.embedding AS ge, v.gold FROM v JOIN embeddings e ON e.vec_id = v.gold),
