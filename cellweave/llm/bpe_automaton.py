@@ -1,21 +1,22 @@
 """Byte-pair encoding by a deterministic tokenization automaton.
 
-The automaton accepts, over the alphabet of vocabulary tokens, exactly the token sequences that byte-pair merging
-yields. It is compiled from the merge list by one gadget per merge, in rank order, starting from the automaton with a
-single state and a loop for every byte. The gadget for the merge (u, v) -> w
+The automaton reads vocabulary tokens and accepts exactly the token sequences that byte-pair merging yields. It is
+compiled from the merge list by one gadget per merge, in rank order, starting from a single state with a loop for every
+byte. The gadget for the merge (u, v) -> w
 
-* gives the state behind every u-arc a copy without the v-arc (after u, v may no longer follow);
+* gives the u-arcs a state of their own, a copy of the one they led to, and takes its v-arc (after u, v may no longer
+  follow, as the two would have merged);
 * adds a w-arc to every state that has a u-arc, leading to where u, v led.
 
-After all gadgets the state behind an arc depends on the arc's token only, and a state lacks the t-arc iff some merge
-removed it. Both facts are stored per token: its *right spine* (the suffixes of its merge tree, each with the rank
-until which it stood at the right edge) names the gadgets that cut arcs behind it, and its *left spine* names the
-arcs from which its own arc was derived. ``arc(a, t)`` reads the transition table and fills a cell on first use,
-so the table holds the cells that texts use, not 50k x 50k.
+Where an arc leads depends on its token alone, so the transition table is a list of states per token and a table of
+bits (state x column) that says which arcs there are. Tokens whose arcs leave the same states share a column until a
+gadget tells them apart, as tokens that lead to the same state share a row; so a vocabulary of 50,000 merges makes some
+9,000 states and 7,000 columns, 8 MB of bits.
 
-A word has one accepted path. It is found by walking the arcs longest token first; a position from which no path
-leads on is never tried again (the path to a position is unique, so one visit is enough), which makes the walk linear
-in the word's length times the longest token. Decoding emits the arcs' labels.
+A word is encoded byte by byte. The tokens that start at a position are the nodes of a byte trie on the way down, and an
+arc of the position's state for such a token leads to the position behind it. A prefix of an accepted sequence
+is accepted and a word has one accepted sequence, so every position is reached by one arc only: nothing is tried and
+taken back, and the last arcs followed backwards are the path. Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
@@ -23,17 +24,19 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from functools import lru_cache
+from collections import Counter
 
+import numpy as np
 import regex
 
+from cellweave.llm import worker
+
 # Fixed value: the public split pattern of byte-level BPE vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_CACHE_ENTRIES = 500_000  # pieces kept in each of two generations
-_TABLE_CELLS = 2_000_000  # filled cells of the transition table kept
+_CACHE_BYTES = 40_000_000  # of pieces kept in each of two generations
+_ENTRY_BYTES = 220  # an entry's share of its dict and the heads of its objects
 _LONG_CHUNK = 256  # longer chunks are encoded without being kept
-_NEVER = 1 << 30
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -46,96 +49,137 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Automaton:
-    """The automaton of one byte-level BPE vocabulary: token texts, spines and the transition table."""
+    """States and transition table of one byte-level BPE vocabulary.
+
+    leads[t]   the state that t-arcs lead to
+    column[t]  the column of t's arcs
+    arcs       packed bits: state x column; state 0 is the start
+    """
 
     def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
         self.ids = vocab
         self.labels: dict[int, bytes] = {i: t for t, i in vocab.items()}
-        self._reach: dict[bytes, int] = {}  # two bytes -> length of the longest token that starts with them
-        for t in vocab:
-            self._reach[t[:2]] = max(self._reach.get(t[:2], 1), len(t))
-        self._rank = {}
-        # Per token: (part, rank of the merge that covers the part), from the token itself inwards.
-        self._right: dict[bytes, tuple] = {bytes([b]): ((bytes([b]), _NEVER),) for b in range(256)}
-        self._left: dict[bytes, tuple] = dict(self._right)
-        for rank, (u, v) in enumerate(merges):
-            self._gadget(rank, u, v)
-        self._table: dict[tuple[bytes, bytes], bool] = {}
-
-    def _gadget(self, rank: int, u: bytes, v: bytes) -> None:
+        single = [bytes([b]) for b in range(256)]
+        if not vocab.keys() >= set(single):
+            raise ValueError("the vocabulary lacks a byte")
+        self.leads: dict[bytes, int] = dict.fromkeys(single, 0)
+        self.column: dict[bytes, int] = dict.fromkeys(single, 0)
+        self._bits = np.zeros((4096, 512), np.uint8)  # state x eight columns; grows by halves
+        self._bits[0, 0] = 1  # column 0 starts with all arcs, column 1 has none
+        self._states, self._columns = 1, 2
+        self._led = Counter({0: len(single) + 1})  # tokens that lead to a state; the start is nobody's to change
+        self._filed = Counter({0: len(single), 1: 1})
+        for u, v in merges:
+            self._gadget(u, v)
+        self.arcs = [row.tobytes() for row in self._bits[: self._states, : (self._columns + 7) // 8]]
+        del self._bits
+        self._trie()
+
+    def _gadget(self, u: bytes, v: bytes) -> None:
         w = u + v
-        self._rank.setdefault((u, v), rank)
-        if w not in self._right:
-            # Behind w stands what stood behind v; w starts wherever u started.
-            self._right[w] = ((w, _NEVER), *((x, min(r, rank)) for x, r in self._right[v]))
-            self._left[w] = ((w, _NEVER), *((y, min(r, rank)) for y, r in self._left[u]))
-
-    def arc(self, a: bytes, t: bytes) -> bool:
-        """Whether the state behind token a has an arc for token t."""
-        key = (a, t)
-        known = self._table.get(key)
-        if known is None:
-            if len(self._table) >= _TABLE_CELLS:
-                self._table.clear()
-            known = self._table[key] = self._has_arc(a, t)
-        return known
-
-    def _has_arc(self, a: bytes, t: bytes) -> bool:
-        rank = self._rank
-        for x, until_x in self._right[a]:
-            for y, until_y in self._left[t]:
-                r = rank.get((x, y))
-                # Equal ranks: a run of one token pairs from the left, so the later pair loses the shared token.
-                if r is not None and r < until_x and r <= until_y:
-                    return False
-        return True
-
-    def path(self, word: bytes) -> list[bytes]:
-        """The labels of the word's only accepted path."""
-        ids, table, reach, arc = self.ids, self._table, self._reach, self.arc
-        if word in ids:
-            return [word]
-        path: list[bytes] = []
-        dead: set[int] = set()
-        at, n, prev, most = 0, len(word), None, None
-        while at < n:
-            step = reach.get(word[at : at + 2], 1) if most is None else most
-            if step > n - at:
-                step = n - at
-            while step:
-                t = word[at : at + step]
-                if t in ids and (prev is None or (arc(prev, t) if (known := table.get((prev, t))) is None else known)) and at + step not in dead:
+        if w in self.leads:
+            raise ValueError(f"two merges make {w!r}: the state behind its arcs would depend on the way there")
+        behind = self.leads[w] = self.leads[v]
+        self._led[behind] += 1
+        # Without the arc earlier merges keep v from ever following u, and w has no arcs either.
+        there = self._has(self.leads[u], self.column[v])
+        if self._led[self.leads[u]] > 1:
+            self._led[self.leads[u]] -= 1
+            self.leads[u] = self._new_state(self.leads[u])
+            self._led[self.leads[u]] = 1
+        if self._filed[self.column[v]] > 1:
+            self._filed[self.column[v]] -= 1
+            self.column[v] = self._new_column(self.column[v])
+            self._filed[self.column[v]] = 1
+        byte, bit = divmod(self.column[v], 8)
+        self._bits[self.leads[u], byte] &= 255 ^ (1 << bit)
+        self.column[w] = self.column[u] if there else 1
+        self._filed[self.column[w]] += 1
+
+    def _has(self, state: int, column: int) -> bool:
+        return bool(self._bits[state, column >> 3] >> (column & 7) & 1)
+
+    def _new_state(self, like: int) -> int:
+        if self._states == len(self._bits):
+            self._bits = np.concatenate([self._bits, np.zeros((self._states // 2, self._bits.shape[1]), np.uint8)])
+        self._bits[self._states] = self._bits[like]
+        self._states += 1
+        return self._states - 1
+
+    def _new_column(self, like: int) -> int:
+        if self._columns == 8 * self._bits.shape[1]:
+            self._bits = np.concatenate([self._bits, np.zeros((len(self._bits), self._columns // 16), np.uint8)], axis=1)
+        new, n = self._columns, self._states
+        bit = self._bits[:n, like >> 3] >> (like & 7) & 1
+        self._bits[:n, new >> 3] |= bit << (new & 7)
+        self._columns += 1
+        return new
+
+    def _trie(self) -> None:
+        """Byte trie of the tokens that have arcs. A node is (nodes by the next byte, arc or None), an arc is its byte
+        and bit in a row, the row of the state it leads to, and the token's id."""
+        leaf: dict = {}
+        found: dict[bytes, list] = {b"": [leaf, None]}
+        for t, i in sorted(self.ids.items()):
+            if t in self.leads:
+                for n in range(1, len(t) + 1):
+                    if t[:n] not in found:
+                        node = found[t[:n]] = [leaf, None]
+                        above = found[t[: n - 1]]
+                        if above[0] is leaf:
+                            above[0] = {}
+                        above[0][t[n - 1]] = node
+                c = self.column[t]
+                node[1] = (c >> 3, 1 << (c & 7), self.arcs[self.leads[t]], i)
+        self._root = found[b""][0]
+
+    def has_arc(self, a: bytes | None, t: bytes) -> bool:
+        """Whether the state behind token a (None: the start) has an arc for token t."""
+        c = self.column[t]
+        return bool(self.arcs[0 if a is None else self.leads[a]][c >> 3] >> (c & 7) & 1)
+
+    def path(self, word: bytes) -> list[int]:
+        """The ids along the word's only accepted path; the vocabulary has every byte."""
+        n, root, row = len(word), self._root, self.arcs[0]
+        came: list = [None] * (n + 1)  # the arc that reaches each position, and from where
+        for at in range(n):
+            if at:
+                row = came[at][0][2]
+            down, end = root, at
+            for byte in word[at:] if at else word:
+                node = down.get(byte)
+                if node is None:
                     break
-                step -= 1
-            if step:
-                path.append(t)
-                at += step
-                prev, most = t, None
-            else:  # no arc leads on: take the last label back and try shorter ones
-                if not path:
-                    raise ValueError("the vocabulary lacks a byte of the word")
-                dead.add(at)
-                t = path.pop()
-                at -= len(t)
-                prev, most = path[-1] if path else None, len(t) - 1
-        return path
+                down, arc = node
+                end += 1
+                if arc and row[arc[0]] & arc[1]:
+                    came[end] = (arc, at)
+            if came[n]:
+                break
+        out = []
+        while n:
+            arc, n = came[n]
+            out.append(arc[3])
+        return out[::-1]
 
 
 class _Chunks(dict):
-    """Piece of text -> its ids as little-endian uint32 bytes; two generations bound the memory."""
+    """Piece of text -> its ids as little-endian uint32 bytes; two generations of bounded bytes."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.encode, self.old, self.left = encode, {}, _CACHE_BYTES
 
     def __missing__(self, piece: str) -> bytes | None:
         got = self.old.get(piece, self)
         if got is self:
             got = self.encode(piece)
         if len(piece) <= _LONG_CHUNK:
-            if len(self) >= _CACHE_ENTRIES:
+            self.left -= _ENTRY_BYTES + len(piece) + len(got or b"")
+            if self.left < 0:
                 self.old = dict(self)
                 self.clear()
+                self.left = _CACHE_BYTES
             self[piece] = got
         return got
 
@@ -172,8 +216,7 @@ class Tokenizer:
         self._piece_ids = _Chunks(self._piece)
 
     def _word(self, word: str) -> bytes:
-        ids = self.automaton.ids
-        return array("I", [ids[t] for t in self.automaton.path(word.encode())]).tobytes()
+        return array("I", self.automaton.path(word.encode())).tobytes()
 
     def _words(self, text: str) -> bytes:
         return b"".join(map(self._word_ids.__getitem__, self._split(text)))
@@ -184,8 +227,7 @@ class Tokenizer:
             return None
         if self._compiled:
             return array("I", self._compiled(" " + piece)).tobytes()
-        ids = self.automaton.ids
-        return b"".join([ids[w].to_bytes(4, "little") if w in ids else self._word(w.decode()) for w in map(str.encode, self._split(" " + piece))])
+        return b"".join(map(self._word, self._split(" " + piece)))
 
     def _plain(self, text: str) -> bytes:
         first, *rest = text.split(" ")
@@ -224,7 +266,6 @@ class Tokenizer:
         return out
 
 
-@lru_cache(maxsize=4)
 def load(path: str, engine: str = "automaton") -> Tokenizer:
-    """One compiled tokenizer per worker process, file and engine."""
-    return Tokenizer(path, engine)
+    """The worker process's compiled tokenizer; one file and engine at a time."""
+    return worker.held(("tokenizer", path, engine), lambda: Tokenizer(path, engine))
