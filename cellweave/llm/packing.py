@@ -4,8 +4,9 @@ The plan needs the lengths only, and lengths are at most the capacity, so it wor
 however many documents there are:
 
 1. a piece of full length is a sequence;
-2. for each length from the longest down, the gap it leaves is looked up among the sums of one, two and three other
-   lengths; a combination that fills the gap exactly is consumed as often as the counts allow;
+2. the sums of one, two and three available lengths are indexed; for each length from the longest down the gap it leaves is
+   looked up, and combinations that fill it exactly are consumed as often as the counts allow. A length
+   that runs out leaves the index;
 3. what remains is packed best-fit in decreasing order, again by counts.
 
 Every consumption empties a length or a group of equal open sequences, so the plan has a number of runs that depends
@@ -36,55 +37,86 @@ from cellweave.llm.scratch import cut
 Pattern = list[tuple[int, int]]  # (length, how many of it side by side), in the sequence's order
 
 
+class Sums:
+    """Index of the sums of one, two and three available lengths.
+
+    pair[s] and triple[s] mark the lengths that the sum s can start with: pair[s, a] if a and s - a are available, with
+    a not the shorter, triple[s, a] if a is available and s - a is a pair's sum. A length that runs out is taken from both.
+    """
+
+    def __init__(self, n: np.ndarray, capacity: int):
+        self.n, self.capacity = n, capacity
+        self.have = n > 0
+        self.pair = np.zeros((capacity + 1, capacity + 1), bool)
+        self.triple = np.zeros((capacity + 1, capacity + 1), bool)
+        lengths = np.flatnonzero(self.have)
+        for a in lengths:
+            b = lengths[(lengths <= a) & (lengths <= capacity - a)]
+            self.pair[a + b, a] = True
+            self.pair[2 * a : 2 * a + 1, a] = n[a] > 1
+        self.pairs = self.pair.sum(axis=1)
+        for a in lengths:
+            self.triple[a:, a] = self.pairs[: capacity + 1 - a] > 0
+
+    def one(self, s: int) -> list[list[int]]:
+        return [[s]] if self.have[s] else []
+
+    def two(self, s: int) -> Iterator[list[int]]:
+        """Pairs of sum s, longest first part first; those that run out meanwhile are left out."""
+        for a in np.flatnonzero(self.pair[s])[::-1].tolist():
+            if self.pair[s, a]:
+                yield [a, s - a]
+
+    def three(self, s: int) -> Iterator[list[int]]:
+        for a in np.flatnonzero(self.triple[s])[::-1].tolist():
+            for rest in self.two(s - a):
+                if not self.triple[s, a]:
+                    break
+                if rest[0] <= a:
+                    yield [a, *rest]
+
+    def take(self, x: int, k: int) -> None:
+        """k pieces of length x are used."""
+        self.n[x] -= k
+        if self.n[x] == 1 and 2 * x <= self.capacity:
+            self._lose(np.array([2 * x]), x)
+        elif not self.n[x]:
+            self.have[x] = False
+            self.triple[:, x] = False
+            sums = np.arange(x, self.capacity + 1)
+            self._lose(sums, x)  # x was the longer part
+            self._lose(sums, sums - x)  # or the shorter one
+
+    def _lose(self, sums: np.ndarray, firsts) -> None:
+        gone = self.pair[sums, firsts]
+        self.pair[sums, firsts] = False
+        self.pairs[sums] -= gone
+        for s in sums[gone & (self.pairs[sums] == 0)].tolist():
+            a = np.arange(self.capacity + 1 - s)
+            self.triple[s + a, a] = False
+
+
 def _exact(n: np.ndarray, capacity: int) -> list[tuple[int, Pattern]]:
     """Consume from the counts n what fills a sequence exactly with up to four pieces; (sequences, pattern) pairs."""
     plan = []
+    index = Sums(n, capacity)
 
-    def consume(lengths: list[int]) -> int:
+    def consume(lengths: list[int]) -> None:
         need = Counter(lengths)
-        times = min(int(n[x]) // k for x, k in need.items())
-        if times:
+        if times := min(int(n[x]) // k for x, k in need.items()):
             for x, k in need.items():
-                n[x] -= times * k
+                index.take(x, times * k)
             plan.append((times, sorted(need.items(), reverse=True)))
-        return times
-
-    def pair_sums() -> np.ndarray:
-        """Whether two available lengths have a sum; may be stale later on, when it says yes too often."""
-        have = (n[: capacity + 1] > 0).astype(np.float64)
-        size = 1 << (2 * capacity + 2).bit_length()
-        spectrum = np.fft.rfft(have, size)
-        return np.fft.irfft(spectrum * spectrum, size)[: capacity + 1] > 0.5
-
-    def pairs(total: int):
-        """Available (a, b) with a >= b and a + b = total, longest a first."""
-        for a in range(total - 1, (total - 1) // 2, -1):
-            if n[a] and n[total - a]:
-                yield a, total - a
 
     consume([capacity])
-    sums, stale = pair_sums(), 0
     for x in range(capacity - 1, 0, -1):
-        gap = capacity - x
-        if n[x]:
-            consume([x, gap])
-        for a, b in pairs(gap) if n[x] and gap > 1 else ():
-            if n[x] and n[a] and n[b]:
-                stale += bool(consume([x, a, b]))
+        for sums in (index.one, index.two, index.three):
             if not n[x]:
                 break
-        if n[x] and gap > 2:
-            if stale > 32:
-                sums, stale = pair_sums(), 0
-            for a in np.flatnonzero(n[1 : gap - 1] > 0)[::-1] + 1:
+            for rest in sums(capacity - x):
+                consume([x, *rest])
                 if not n[x]:
                     break
-                if n[a] and sums[gap - a]:
-                    for b, c in pairs(int(gap - a)):
-                        if b <= a and n[x] and n[a] and n[b] and n[c]:
-                            stale += bool(consume([x, int(a), b, c]))
-                        if not n[x] or not n[a]:
-                            break
     return plan
 
 
@@ -148,7 +180,7 @@ def plan(counts: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
 def pieces(df: DataFrame, vocab_path: str, capacity: int, end_id: int, id_col: str, text_col: str, ids: bool) -> DataFrame:
     """Tokenize and cut; per piece its id, number, start, length, checksum, and its rank among the pieces of its length
     in this partition (part, nth). Depends on the partition's rows only, so a repeated task writes the same."""
-    fields = [T.StructField(id_col, df.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in ("piece", "start", "length", "ids_crc32", "part", "nth")]
+    fields = [T.StructField(id_col, df.schema[id_col].dataType), T.StructField("piece", T.IntegerType())] + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "part", "nth")]
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids
     end = end_id.to_bytes(4, "little")
 
@@ -171,7 +203,7 @@ def pieces(df: DataFrame, vocab_path: str, capacity: int, end_id: int, id_col: s
                     at += length
                     piece += 1
             cols = list(zip(*rows, strict=True)) if rows else [()] * (len(fields) - 1)
-            kinds = [pa.int64()] * 6 + [pa.list_(pa.int32())]
+            kinds = [pa.int32()] + [pa.int64()] * 5 + [pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column("__id").take(pa.array(take, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names=[f.name for f in fields])
 
     return df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(run, T.StructType(fields))
@@ -194,7 +226,7 @@ def pack(df: DataFrame, vocab_path: str, capacity: int = 2048, end_id: int = 0,
     sent = df.sparkSession.sparkContext.broadcast(runs)
 
     names = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    schema = T.StructType([written.schema[id_col]] + [T.StructField(c, T.LongType()) for c in names[1:]] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids)
+    schema = T.StructType([written.schema[c] for c in names[:5]] + [T.StructField(c, T.LongType()) for c in names[5:]] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = sent.value
@@ -212,5 +244,6 @@ def pack(df: DataFrame, vocab_path: str, capacity: int = 2048, end_id: int = 0,
             cols = [batch.column(c) for c in names[:5]] + [pa.array(sequence), pa.array(offset)] + ([batch.column("ids")] if ids else [])
             yield pa.RecordBatch.from_arrays(cols, names=names + ["ids"] * ids)
 
-    ranked = written.join(by_part.select("part", "length", "base"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
+    # The table grows with partitions x lengths, so it meets the pieces in a shuffle and is sent to nobody.
+    ranked = written.join(by_part.select("part", "length", "base").hint("merge"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
     return ranked.select(*names[:5], "rank", *["ids"] * ids).mapInArrow(place, schema)
