@@ -2,19 +2,27 @@
 
 Words are runs of bytes other than ASCII white space, A-Z in lower case. A text's set holds a hash for each distinct
 run of `width` words; a text with fewer words has one for its whole sequence, a text without words has none.
+
+A word's hash is a keyed BLAKE2b digest of its bytes, a shingle's is a sum of its words' hashes by place, mixed. Two given
+shingles that differ have equal hashes with a probability of 2 ** -64, whatever their words look like.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 
+from cellweave.llm import worker
+
 _LOWER = bytes(range(256)).lower()
-_CHUNK = 1 << 21  # bytes hashed at once; a longer text makes a chunk of its own
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_CHUNK = 1 << 20  # bytes of a text that are split into words at once
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_KEY = b"cellweave shingles"
+_CACHE_BYTES = 32_000_000  # of words whose hashes a worker keeps
+_ENTRY_BYTES = 200  # an entry's share of its dict and the heads of its objects
 
 _U = np.uint64
 
@@ -26,63 +34,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
-_BASE = 0xD1342543DE82EF95
 _STEP = [mix(np.array([i + 1], _U))[0] | _U(1) for i in range(64)]
 
 
-class _Powers:
-    """Powers of the base and of its inverse, as many as the longest chunk so far needs."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, _U)
-
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, _CHUNK + (_CHUNK >> 2))
-            one = np.ones(1, _U)
-            self.up = np.concatenate([one, np.cumprod(np.full(size - 1, _BASE, _U))])
-            self.down = np.concatenate([one, np.cumprod(np.full(size - 1, pow(_BASE, -1, 1 << 64), _U))])
-        return self.up, self.down
+class _Words(dict):
+    """Word -> its hash; starts anew when full."""
 
+    left = _CACHE_BYTES
 
-_powers = _Powers()
+    def __missing__(self, word: bytes) -> int:
+        got = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=_KEY).digest(), "little")
+        if len(word) <= 64:
+            self.left -= _ENTRY_BYTES + len(word)
+            if self.left < 0:
+                self.clear()
+                self.left = _CACHE_BYTES
+            self[word] = got
+        return got
 
 
-def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word of the bytes."""
-    raw = np.frombuffer(data.translate(_LOWER), np.uint8)
-    edge = np.diff(np.concatenate([[True], _SPACE[raw], [True]]).view(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(start):
-        return start, np.empty(0, _U)
-    up, down = _powers.of(len(raw) + 1)
-    total = np.concatenate([[_U(0)], np.cumsum(_BYTE[raw] * up[: len(raw)])])
-    return start, mix((total[end] - total[start]) * down[start] + (end - start).astype(_U) * _U(0x9E3779B97F4A7C15))
+def _hashes(text: bytes, words: _Words) -> np.ndarray:
+    """The hashes of a text's words in order."""
+    text, parts, at = text.translate(_LOWER), [], 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + _CHUNK) if len(text) - at > _CHUNK else None
+        end = cut.start() if cut else len(text)
+        own = text[at:end].split()
+        parts.append(np.fromiter(map(words.__getitem__, own), _U, len(own)))
+        at = end
+    return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, _U), *parts])
 
 
 def sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    a = 0
-    while a < len(texts):
-        b, size = a, 0
-        while b < len(texts) and (b == a or size + len(texts[b]) < _CHUNK):
-            size += len(texts[b]) + 1
-            b += 1
-        start, words = _words(b" ".join(texts[a:b]))
-        bounds = np.searchsorted(start, np.cumsum([0] + [len(t) + 1 for t in texts[a:b]]))
-        if len(words) >= width:
-            runs = sum(words[i : len(words) - width + 1 + i] * _STEP[i] for i in range(width))
-            runs = mix(runs)
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            if hi - lo >= width:
-                yield np.unique(runs[lo : hi - width + 1])
-            elif hi > lo:
-                few = sum((words[lo + i : lo + i + 1] * _STEP[i] for i in range(hi - lo)), np.array([hi - lo], _U) * _STEP[63])
-                yield mix(few)
-            else:
-                yield np.empty(0, _U)
-        a = b
+    words = worker.held("words", _Words)
+    for text in texts:
+        own = _hashes(text, words)
+        n = len(own) - width + 1
+        if n > 0:
+            yield np.unique(mix(sum(own[i : n + i] * _STEP[i] for i in range(width))))
+        elif len(own):
+            yield mix(sum((own[i : i + 1] * _STEP[i] for i in range(len(own))), np.array([len(own)], _U) * _STEP[63]))
+        else:
+            yield own
 
 
 def fingerprint(own: np.ndarray) -> bytes:
