@@ -58,6 +58,19 @@ def sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Python workers get so many rows at once in what is run inside. A batch stands several times in the memory of an
+    executor and its workers, so batches of whole texts should be small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and return a reader of it; survives the loss of any executor."""
     path = new_path(df.sparkSession, tag)
