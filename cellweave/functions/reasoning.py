@@ -183,21 +183,77 @@ def without_end(x: Column) -> Column:
     return strip(F.regexp_replace(x, r"(?i)</?s>\s*$", ""))
 
 
-# Phrases that a reasoning line must not have.
-BANNED_LINE = r"(?i)\b(the (correct|gold|given) answer|answer key|final answer)\b"
+# Patterns that a reasoning line must not match, and one candidate in full form.
+BANNED_LINES = [
+    r"\b(the\s+)?provided\s+correct\s+answer\b",
+    r"\bfor\s+verification\b",
+    r"\bgold\s*(answer|label)?\b",
+    r"\bwe\s+are\s+given\s+an?\s+entity\s+linking\s+task\b",
+    r"\bi\s+should\s+output\s+exactly\b",
+    r"^\s*candidates?\s*[:：]\s*$",
+]
+CANDIDATE = r"<[^<>]+?\[DESCRIPTION\][^<>]*?>"
+CANDIDATE_HEADER = r"\bthe referent entity candidates are\b"
 
 
 def sane_reasoning(x: Column) -> Column:
-    """Lines without blanks, giveaways, or two candidates and more."""
-    lines = F.filter(F.split(blank_if_null(x), "\n"), lambda s: (strip(s) != "") & ~s.rlike(BANNED_LINE) & (F.size(F.regexp_extract_all(s, F.lit(r"<[^<>]+>"), F.lit(0))) < 2))
-    return F.array_join(F.transform(lines, strip), "\n")
+    """Lines, white space collapsed, without blank ones, giveaways, lists of candidates and their header."""
+    def fit(line: Column) -> Column:
+        banned = reduce(lambda a, b: a | b, (line.rlike(f"(?iuU){p}") for p in [*BANNED_LINES, CANDIDATE_HEADER]))
+        return (line != "") & ~banned & (F.size(F.regexp_extract_all(line, F.lit(CANDIDATE), F.lit(0))) < 2)
+
+    lines = F.transform(F.split(F.replace(blank_if_null(x), F.lit("\r\n"), F.lit("\n")), "\n"), collapse)
+    return F.array_join(F.filter(lines, fit), "\n")
+
+
+def augmented_output(reasoning: Column, answer: Column) -> Column:
+    """Sane reasoning in a think block before the answer; the answer alone if none is left."""
+    body = lambda r: F.when(r == "", strip(blank_if_null(answer))).otherwise(F.concat(F.lit("<think>\n"), r, F.lit("\n</think>\n"), strip(blank_if_null(answer))))
+    return let(sane_reasoning(x=reasoning), body)
+
+
+def split_content(x: Column) -> Column:
+    """struct(reasoning, answer) of the first think block and what follows it; without one all is answer."""
+    form = r"(?is)<think>[\s\x1c-\x1f]*(.*?)[\s\x1c-\x1f]*</think>[\s\x1c-\x1f]*(.*)$"
+    part = lambda t, i: strip(F.regexp_extract(t, form, i))
+    return let(strip(blank_if_null(x)), lambda t: F.struct(F.when(t.rlike(form), part(t, 1)).otherwise("").alias("reasoning"), F.when(t.rlike(form), part(t, 2)).otherwise(t).alias("answer")))
+
+
+def is_candidate_bullet(s: Column) -> Column:
+    """A bullet line that copies a candidate."""
+    return s.rlike(r"^[-*•]\s") & s.rlike(CANDIDATE)
 
 
 def shortened(x: Column, most_sentences: int, most_chars: int) -> Column:
-    """The first sentences that aren't dumps (all, if all are), cut back to a sentence end or a blank within most_chars."""
-    parts = sentences(x)
-    real = F.filter(parts, lambda s: ~is_dump(s))
-    kept = F.array_join(F.slice(F.when(F.size(real) > 0, real).otherwise(parts), 1, most_sentences), " ")
-    cut = F.substring(kept, 1, most_chars)
-    at_end, at_blank = F.regexp_extract(cut, r"(?s)^(.*[.!?。！？])", 1), F.regexp_extract(cut, r"(?s)^(.*)\s", 1)
-    return F.when(F.length(kept) <= most_chars, kept).otherwise(F.coalesce(F.nullif(at_end, F.lit("")), F.nullif(at_blank, F.lit("")), cut))
+    """Reasoning cut to most_sentences, of which bullets that copy candidates go first, unless there is nothing else;
+    then to most_chars, back to the last sentence mark, or else the last blank."""
+    def few(t: Column) -> Column:
+        lines = F.flatten(F.transform(F.split(t, "\n"), lambda line: F.split(line, rf"(?<=[.!?。！？]){WS}+")))
+
+        def kept(parts: Column) -> Column:
+            real = F.filter(parts, lambda s: ~is_candidate_bullet(s))
+            return F.when(F.size(parts) <= most_sentences, t).otherwise(F.array_join(F.slice(F.when(F.size(real) > 0, real).otherwise(parts), 1, most_sentences), "\n"))
+
+        return let(F.filter(F.transform(lines, strip), lambda s: s != ""), kept)
+
+    def short(t: Column) -> Column:
+        cut = F.substring(t, 1, most_chars)
+        at_mark, at_blank = F.regexp_extract(cut, r"(?s)^(.*[.!?。！？])", 1), F.regexp_extract(cut, r"(?s)^(.+)[ \n]", 1)
+        end = F.coalesce(F.nullif(at_mark, F.lit("")), F.nullif(at_blank, F.lit("")), cut)
+        return F.when(F.length(t) <= most_chars, t).otherwise(F.regexp_replace(end, rf"{WS}+$", ""))
+
+    t = strip(blank_if_null(x))
+    return let(let(t, few) if most_sentences > 0 else t, short) if most_chars > 0 else let(t, few)
+
+
+def shortened_accept(x: Column, most_sentences: int, most_chars: int) -> Column:
+    """An answer with its reasoning shortened and made sane; as it is without reasoning or without an answer."""
+    new = lambda p: F.when((p["reasoning"] == "") | (p["answer"] == ""), x).otherwise(augmented_output(shortened(p["reasoning"], most_sentences, most_chars), p["answer"]))
+    return let(split_content(x), new)
+
+
+def shared_prefix(chosen: Column, rejected: Column, prefix: str = "<think>\n") -> Column:
+    """struct(chosen, rejected) without the prefix that both start with, null if one doesn't."""
+    both = F.startswith(chosen, F.lit(prefix)) & F.startswith(rejected, F.lit(prefix))
+    rest = lambda x: F.substr(x, F.lit(len(prefix) + 1))
+    return F.when(both, F.struct(rest(chosen).alias("chosen"), rest(rejected).alias("rejected")))

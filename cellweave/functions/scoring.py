@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cellweave.functions.text import let, tokens
+from cellweave.functions.text import collapse, let, strip, tokens
 
 # Weights of the candidate score.
 WEIGHTS = {"exact": 3.8, "contains": 1.3, "sim": 2.3, "prior": 1.8, "type": 1.0, "ctx": 0.9, "bm25": 1.4}
@@ -89,10 +89,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def char_ngrams(x: Column, sizes: tuple[int, ...] = (3, 4)) -> Column:
-    """All character n-grams of the text."""
+    """All character n-grams of the text; a text that is shorter is its own only one."""
     grams = []
     for n in sizes:
-        grams.append(F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1))), _gram(x, n))).otherwise(F.array().cast("array<string>")))
+        grams.append(F.when((F.length(x) < n) & (x != ""), F.array(x)).when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1))), _gram(x, n))).otherwise(F.array().cast("array<string>")))
     return F.concat(*grams)
 
 
@@ -111,3 +111,17 @@ def gram_cosine(a: Column, b: Column) -> Column:
 def name_cosine(a: Column, b: Column) -> Column:
     """Cosine of two names by their character 3- and 4-grams."""
     return let(char_ngrams(a), lambda x: let(char_ngrams(b), lambda y: gram_cosine(x, y)))
+
+
+def hard_negatives(candidates: Column, gold: Column, others: int) -> Column:
+    """The gold answer, then the `others` candidates most like it by character n-grams, each once; of equal ones the
+    first in the list."""
+    inner = lambda c: collapse(F.lower(F.regexp_replace(c, r"(?s)^\s*<(.*)>\s*$", "$1")))
+    own = strip(gold)
+
+    def picked(of_gold: Column) -> Column:
+        rest = F.filter(F.array_distinct(candidates), lambda c: strip(c) != own)
+        ranked = F.transform(rest, lambda c, i: F.struct((-F.round(let(char_ngrams(inner(c)), lambda g: gram_cosine(g, of_gold)), 9)).alias("s"), i.alias("i"), c.alias("c")))
+        return F.concat(F.array(own), F.transform(F.slice(F.array_sort(ranked), 1, others), lambda r: r["c"]))
+
+    return let(char_ngrams(inner(own)), picked)

@@ -102,6 +102,12 @@ def question_candidates(q: Column) -> Column:
     return F.regexp_extract_all(segment, F.lit(r"<[^>]+>"), F.lit(0))
 
 
+def with_candidates(q: Column, candidates: Column) -> Column:
+    """A question with other candidates in its list."""
+    whole = r"(?is)^(.*?the referent entity candidates are:)(.*?)((?:what is).*)$"
+    return F.when(q.rlike(whole), F.concat(F.regexp_extract(q, whole, 1), F.lit(" "), F.array_join(candidates, ", "), F.lit(" "), F.regexp_extract(q, whole, 3))).otherwise(q)
+
+
 def strict_candidates(q: Column, expected: Column) -> Column:
     """Candidates in the full form if there are as many as expected (-1: one or more); null if not."""
     segment = strip(F.regexp_extract(q, r"(?is)the referent entity candidates are:(.*?)(?:what is the correct|$)", 1))
@@ -134,7 +140,13 @@ def short_marker(x: Column) -> Column:
 
 
 def name_variants(mention: Column) -> Column:
-    return F.array_distinct(F.array(mention, F.initcap(mention), F.lower(mention)))
+    return F.array_distinct(F.array(mention, title_case(mention), F.lower(mention)))
+
+
+def title_case(x: Column) -> Column:
+    """Every run of letters with its first letter upper and the rest lower; apostrophes and digits end a run."""
+    parts = F.regexp_extract_all(x, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.lower(F.substr(p, F.lit(2))))), "")
 
 
 def qid_of_uri(uri: Column) -> Column:

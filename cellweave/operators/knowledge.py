@@ -34,10 +34,15 @@ def english_literal(obj: Column) -> Column:
 
 
 def unescape(x: Column) -> Column:
-    """Backslash escapes of a literal, \\uXXXX included."""
+    """Backslash escapes of a literal, \\uXXXX and \\UXXXXXXXX included."""
+    long = r"(?<!\\)\\U([0-9A-Fa-f]{8})"
+    # A long escape becomes a short one, or the character itself where four digits don't hold it.
+    code = lambda c: F.when(F.startswith(c, F.lit("0000")), F.concat(F.lit("\\u"), F.right(c, F.lit(4)))).otherwise(F.coalesce(F.decode(F.unhex(c), "UTF-32"), F.lit("\ufffd")))
+    found = F.regexp_extract_all(x, F.lit(long), F.lit(1))
+    joined = F.concat_ws("", F.flatten(F.zip_with(F.split(x, long, -1), found, lambda part, c: F.array(part, F.when(c.isNotNull(), code(c))))))
+    short = F.replace(F.when(F.contains(x, F.lit("\\U")), joined).otherwise(x), F.lit("\\'"), F.lit("'"))
     # The string is read as a JSON string, whose escapes are the same.
-    asked = F.concat(F.lit('["'), x, F.lit('"]'))
-    return F.coalesce(F.get(F.from_json(asked, "array<string>"), F.lit(0)), x)
+    return F.coalesce(F.get(F.from_json(F.concat(F.lit('["'), short, F.lit('"]')), "array<string>"), F.lit(0)), short)
 
 
 def assemble(triples: DataFrame, label_iri: str, description_iri: str, alias_iri: str, direct_prefix: str, type_property: str = "P31", about_iri: str = "http://schema.org/about") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import comb
+from math import exp, lgamma, log
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +27,11 @@ def precision_at(relevance: Column, k: int) -> Column:
     return F.when(F.size(relevance) >= k, hits).otherwise(F.raise_error(F.lit("the list is shorter than k")).cast("double"))
 
 
+def mean_average_precision(df: DataFrame, relevance: str, by: list[str] | None = None) -> DataFrame:
+    """Mean of the average precision of ranked lists."""
+    return df.groupBy(*(by or [])).agg(F.avg(average_precision(F.col(relevance))).alias("map"))
+
+
 def average_precision(relevance: Column) -> Column:
     """Mean of the precision at each hit, 0 without hits."""
     begin = F.struct(F.lit(0).alias("n"), F.lit(0).alias("hits"), F.lit(0.0).alias("sum"))
@@ -46,6 +51,19 @@ def set_scores(gold: Column, pred: Column) -> tuple[Column, Column, Column]:
     return p, r, F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r))
 
 
+def macro_f1(df: DataFrame, gold: str, pred: str, by: list[str] | None = None) -> DataFrame:
+    """Mean of the F1 of two arrays as sets, 0 for no rows."""
+    f1 = set_scores(F.col(gold), F.col(pred))[2]
+    return df.groupBy(*(by or [])).agg(F.coalesce(F.avg(f1), F.lit(0.0)).alias("macro_f1"))
+
+
+def f1_score(df: DataFrame, average: str = "micro", gold: str = "gold", prediction: str = "prediction") -> DataFrame:
+    """F1 of one prediction a row, which is the accuracy; averages other than micro and binary have no meaning here."""
+    if average not in ("micro", "binary"):
+        raise ValueError("average must be micro or binary")
+    return accuracy(df, None, gold, prediction).select(F.col("accuracy").alias("f1"))
+
+
 def nearest_rank(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
     """The value at place round(p * (n - 1)) of the sorted values, halves to even. Equal values are counted first, so
     what is sorted is distinct values."""
@@ -63,8 +81,17 @@ def mcnemar(broken: pd.Series, fixed: pd.Series) -> pd.Series:
     """Two-sided exact test of paired changes."""
 
     def p(b: int, c: int) -> float:
-        n = b + c
-        return 1.0 if n == 0 else min(1.0, 2 * sum(comb(n, i) for i in range(min(b, c) + 1)) / 2**n)
+        n, least = b + c, min(b, c)
+        if not n:
+            return 1.0
+        # Binomial terms from the largest down; each is a falling part of the one before, so few of them count.
+        term = exp(lgamma(n + 1) - lgamma(least + 1) - lgamma(n - least + 1) - n * log(2))
+        total, i = term, least
+        while i and term > 1e-18 * total:
+            term *= i / (n - i + 1)
+            total += term
+            i -= 1
+        return min(1.0, 2 * total)
 
     return pd.Series([p(int(b), int(c)) for b, c in zip(broken, fixed, strict=True)])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.functions.text import blank_if_null, clean_text, collapse, let, page_title, strip
+from cellweave.functions.text import blank_if_null, clean_text, collapse, let, page_title, question_column, question_mention, short_marker, strip
 
 
 def cell(matrix: Column, row: Column, col: Column) -> Column:
@@ -22,14 +22,15 @@ def text_matrix(text: Column, cells: Column, header: Column) -> Column:
 def mention_jobs(tables: DataFrame) -> DataFrame:
     """One row per linked cell of tables (source_file, text, link, entity, caption, and what else they carry)."""
     others = [c for c in tables.columns if c not in ("text", "link", "entity")]
-    header = F.get("text", F.lit(0))
-    rows = tables.withColumn("__header", header).select(*others, "__header", "text", "link", "entity", F.posexplode("text").alias("row_index", "__row")).where(F.col("row_index") > 0)
-    cells = rows.select(*others, "__header", "link", "entity", "row_index", F.posexplode(F.slice("__row", 1, F.size("__header"))).alias("col_index", "__cell"))
-    mention = clean_text(F.col("__cell"))
-    title, qid = (clean_text(cell(F.col(c), F.col("row_index"), F.col("col_index"))) for c in ("link", "entity"))
+    # Each row takes its own cells, links and entities along, and each cell its own three strings.
+    matrix = F.arrays_zip(F.col("text").alias("t"), F.col("link").alias("l"), F.col("entity").alias("e"))
+    kept = F.slice(F.transform(matrix, lambda r, i: F.struct(i.alias("i"), r["t"].alias("t"), r["l"].alias("l"), r["e"].alias("e"))), 2, F.greatest(F.size("text") - 1, F.lit(0)))
+    rows = tables.select(*others, F.get("text", F.lit(0)).alias("__header"), F.explode(kept).alias("__r"))
+    fit = lambda c: F.slice(F.coalesce(F.col(f"__r.{c}"), F.array().cast("array<string>")), 1, F.size("__header"))
+    cells = rows.select(*others, "__header", F.col("__r.i").alias("row_index"), F.posexplode(F.arrays_zip(fit("t").alias("t"), fit("l").alias("l"), fit("e").alias("e"))).alias("col_index", "__c"))
     out = cells.select(
         F.concat_ws("", F.col("source_file"), F.lit("#"), F.col("row_index"), F.lit(":"), F.col("col_index")).alias("job_id"), *others, "row_index", "col_index",
-        mention.alias("mention"), clean_text(F.get("__header", F.col("col_index"))).alias("column_name"), qid.alias("gold_qid"), title.alias("gold_wiki_title"),
+        clean_text(F.col("__c.t")).alias("mention"), clean_text(F.get("__header", F.col("col_index"))).alias("column_name"), clean_text(F.col("__c.e")).alias("gold_qid"), clean_text(F.col("__c.l")).alias("gold_wiki_title"),
     )
     out = out.where((F.col("mention") != "") & ((F.col("gold_qid") != "") | (F.col("gold_wiki_title") != "")))
     if "caption" in others:
@@ -111,6 +112,23 @@ def shifted_window(rows: Column, at: Column, size: int = 10, before: int = 4) ->
     return F.when(n <= size, rows).otherwise(F.slice(rows, start + 1, size))
 
 
+def mention_window(rows: Column, at: Column, cell: Column, mention: Column) -> Column:
+    """The clipped window if there are more than ten rows and the cell is the mention itself, else all rows."""
+    return F.when((F.size(rows) > 10) & (cell == mention), clipped_window(rows, at)).otherwise(rows)
+
+
+def fallback_row(at: Column, number: Column, n: Column) -> Column:
+    """A row's position: as found, else from its number, moved into the table."""
+    return F.coalesce(at, F.least(F.greatest(F.lit(0), number - 1), n - 1))
+
+
+def context_rows(rows: Column, at: Column, most: Column) -> Column:
+    """`most` rows round position `at`, half before it, moved to stay inside; all rows if most is negative or enough."""
+    half = F.floor(most / 2).cast("int")
+    start = F.greatest(F.lit(0), F.least(at - half, F.size(rows) - most))
+    return F.when((most < 0) | (F.size(rows) <= most), rows).otherwise(F.slice(rows, start + 1, most))
+
+
 def clipped_window(rows: Column, at: Column, before: int = 4, after: int = 6) -> Column:
     """Rows [at - before, at + after), not moved at the edges."""
     start = F.greatest(F.lit(0), at - before)
@@ -127,3 +145,39 @@ def simplify(seg: Column, at: Column) -> Column:
         return let(at, short)
 
     return F.when(at.isNotNull(), collapse(F.concat(seg_prefix(seg), F.array_join(let(seg_rows(seg), lines), " [SEP] "))))
+
+
+def aligned(df: DataFrame) -> DataFrame:
+    """Samples (input_seg, question, output) as they are evaluated: the table cut round the entity where that is found,
+    the short marker in question and output."""
+    at = find_entity(F.col("input_seg"), question_mention(F.col("question")), question_column(F.col("question")))
+    out = df.withColumn("__at", at).withColumn("input_seg", F.coalesce(simplify(F.col("input_seg"), F.col("__at")), F.col("input_seg"))).drop("__at")
+    return out.withColumn("question", short_marker(F.col("question"))).withColumn("output", short_marker(F.col("output")))
+
+
+def find_numbered(seg: Column, q: Column) -> Column:
+    """struct(row, col, surface) for a question that names its column "col N": the first row with the mention in cell N,
+    blank cells counted; null if there is none."""
+    quotes = r"^['\"]+|['\"]+$"
+    mention = F.regexp_replace(collapse(F.regexp_extract(q, r"(?is)selected entity mention in the table cell is:\s*['\"]?(.*?)['\"]?\.\s*The column name", 1)), quotes, "")
+    number = F.regexp_extract(strip(F.regexp_extract(q, r"(?is)The column name for .*? is\s*([^.]+)\.", 1)), r"(?i)^col\s*(\d+)$", 1)
+
+    def cells(body: Column) -> Column:
+        parts = F.transform(F.split(body, r"\|"), strip)
+        return F.when(F.size(parts) >= 2, F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))).otherwise(F.filter(parts, lambda c: c != ""))
+
+    def rows(m: Column) -> Column:
+        parts = F.filter(F.split(seg, r"\[SEP\]"), lambda p: p.rlike(r"(?is)row\s+\d+\s*:"))
+        row = r"(?is)row\s+(\d+)\s*:\s*(.*)$"
+        return F.filter(F.transform(parts, lambda p: F.struct((F.regexp_extract(strip(p), row, 1).cast("int") - 1).alias("row"), F.get(cells(F.regexp_extract(strip(p), row, 2)), number.cast("int")).alias("cell"))), lambda r: F.contains(F.lower(collapse(r["cell"])), F.lower(m)))
+
+    found = let(mention, lambda m: let(F.get(rows(m), F.lit(0)), lambda r: F.when(r.isNotNull() & (m != ""), F.struct(r["row"].alias("row"), number.cast("int").alias("col"), m.alias("surface")))))
+    return F.when(number != "", found)
+
+
+def adapted(df: DataFrame) -> DataFrame:
+    """Records that carry `input` instead of input_seg, and no entity: both filled in where they can be."""
+    seg = F.coalesce(F.col("input_seg"), F.col("input")) if "input_seg" in df.columns else F.col("input")
+    out = df.withColumn("input_seg", F.coalesce(seg, F.lit("")))
+    inferred = find_numbered(F.col("input_seg"), F.coalesce("question", F.lit("")))
+    return out.withColumn("entity", F.coalesce(F.col("entity"), inferred) if "entity" in df.columns else inferred)

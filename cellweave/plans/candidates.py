@@ -166,8 +166,10 @@ SELECT 's' || l_suppkey || '.json' AS source_file, pos AS row_index, array_to_st
   array_to_string(names[greatest(0, pos - 4) + 1 : pos + 6], '|') AS clipped FROM j""")
 def w1_row_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = supplier_tables(spark, sf_dir).select("source_file", F.transform(F.slice("text", 2, 1_000_000_000), lambda r: r[0]).alias("names"))
-    t = t.select("source_file", "names", F.explode(F.sequence(F.lit(0), F.size("names") - 1)).alias("at"))
-    return t.select("source_file", F.col("at").cast("long").alias("row_index"), F.array_join(tables.shifted_window(F.col("names"), F.col("at")), "|").alias("shifted"), F.array_join(tables.clipped_window(F.col("names"), F.col("at")), "|").alias("clipped"))
+    # Both windows are cut before the explode, so a row takes twenty names along and not the whole column.
+    cut = lambda names: F.transform(names, lambda x, i: F.struct(tables.shifted_window(names, i).alias("s"), tables.clipped_window(names, i).alias("c")))
+    t = t.select("source_file", F.posexplode(text.let(F.col("names"), cut)).alias("at", "w"))
+    return t.select("source_file", F.col("at").cast("long").alias("row_index"), F.array_join("w.s", "|").alias("shifted"), F.array_join("w.c", "|").alias("clipped"))
 
 
 @query(f"SELECT 's' || l_suppkey || '.json' AS source_file, arg_min('s' || l_suppkey || '.json#' || r || ':0', md5('42|' || 's' || l_suppkey || '.json#' || r || ':0')) AS job_id FROM ({_ORDERED}) GROUP BY l_suppkey")
@@ -181,12 +183,18 @@ def p4_page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.page_title(F.col("html")).alias("title"))
 
 
-@query("""WITH d AS (SELECT doc_id, text, source, lang, lower(text) AS low FROM documents)
-SELECT doc_id, CASE WHEN contains(low, source) OR contains(low, 'the ') THEN CASE WHEN contains(low, source) AND NOT contains(low, 'the ') THEN 'Body' ELSE 'Body' END ELSE CASE WHEN contains(lower(source), 'the ') THEN 'Other' ELSE '' END END AS section FROM d""")
+@query("""WITH d AS (SELECT doc_id, lower(text) AS low, lower(source) AS title FROM documents),
+s AS (SELECT doc_id, CASE WHEN contains(low, 'the ') THEN 2 ELSE 0 END + CASE WHEN contains(low, title) THEN 3 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 0.2 ELSE 0 END AS body,
+  CASE WHEN contains(title, 'the ') THEN 2 ELSE 0 END + 3 + CASE WHEN doc_id % 2 = 0 THEN 0.2 ELSE 0 END - CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 0 END AS other FROM d)
+SELECT doc_id, CASE WHEN greatest(body, other) <= 0 THEN '' WHEN body >= other THEN 'Body' ELSE 'Other' END AS section FROM s""")
 def p5_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions, link titles and table openers decide between two sections; blank and page sections don't count."""
     d = table(spark, sf_dir, "documents")
-    context = F.create_map(F.lit("null"), F.lit("<title>x</title>"), F.lit("Body"), F.col("text"), F.lit("Other"), F.col("source"))
-    return d.select("doc_id", tables.section_of(context, F.lit("the "), F.lit("")).alias("section"))
+    mark = lambda c: F.when(c, " {| x").otherwise("")
+    body = F.concat(F.coalesce("text", F.lit("")), mark(F.col("doc_id") % 3 == 0))
+    other = F.concat(F.when(F.col("doc_id") % 5 == 0, F.lit("-")).otherwise(F.col("source")), mark(F.col("doc_id") % 2 == 0))
+    context = F.create_map(F.lit("null"), F.lit("<title>the x</title>"), F.lit(" "), F.lit("the the {|"), F.lit("Body"), body, F.lit("Other"), other)
+    return d.select("doc_id", tables.section_of(context, F.lit("the "), F.replace("source", F.lit(" "), F.lit("_"))).alias("section"))
 
 
 @query("""WITH b AS (SELECT DISTINCT p_name AS a FROM part), g AS (SELECT a, unnest(list_concat(list_transform(range(1, length(a) - 1), lambda i: a[i:i+2]), list_transform(range(1, length(a) - 2), lambda i: a[i:i+3]))) AS gram FROM b),

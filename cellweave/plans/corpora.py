@@ -41,12 +41,12 @@ def t17_repeat_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.round(reasoning.repeat_ratio(F.col("text"), 3), 6).alias("repeat_ratio"), reasoning.estimated_tokens(F.col("text")).alias("n_tokens"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), k AS (SELECT doc_id, lower(trim(line)) AS key FROM l WHERE trim(line) <> '')
-SELECT doc_id, count(*) AS n_lines, count(DISTINCT key) AS n_kept FROM k GROUP BY 1""")
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents), k AS (SELECT doc_id, line, i, lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))) AS key FROM l),
+f AS (SELECT doc_id, key, arg_min(line, i) AS line, min(i) AS i FROM k WHERE key <> '' GROUP BY 1, 2) SELECT doc_id, count(*) AS n_kept, md5(string_agg(line, '|' ORDER BY i)) AS digest FROM f GROUP BY 1""")
 def u6_distinct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.filter(F.split("text", "\n"), lambda s: F.trim(s) != "")
-    keys = F.transform("lines", lambda s: F.lower(F.trim(s)))
-    return table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines")).where(F.size("lines") > 0).select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size(F.array_distinct(keys)).cast("long").alias("n_kept"))
+    """The first of each text's lines that are equal up to case and white space."""
+    d = table(spark, sf_dir, "documents").select("doc_id", reasoning.distinct_sentences(F.split("text", "\n")).alias("s")).where(F.size("s") > 0)
+    return d.select("doc_id", F.size("s").cast("long").alias("n_kept"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
@@ -99,11 +99,11 @@ def r7_eval_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.05, seed=7)
 
 
-@query("""WITH w AS (SELECT doc_id, string_split(left(text, 60), ' ') AS w FROM documents), i AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM w)
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), i AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM w)
 SELECT doc_id, string_agg(x, ' ' ORDER BY md5('42|' || doc_id || '|' || x || '|' || i)) AS shuffled FROM i GROUP BY 1""")
 def r6_shuffled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.array_join(sampling.shuffled(F.split(F.left("text", F.lit(60)), " "), 42, F.col("doc_id")), " ").alias("shuffled"))
+    return d.select("doc_id", F.array_join(sampling.shuffled(F.split("text", " "), 42, F.col("doc_id")), " ").alias("shuffled"))
 
 
 @query("SELECT doc_id FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 200")
@@ -128,8 +128,8 @@ def k9_samples_per_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.per_group(table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars"), "lang", "doc_id", 3)
 
 
-@query("SELECT 0 AS source, * FROM (SELECT doc_id AS ord, left(text, 20) AS body FROM documents ORDER BY doc_id LIMIT 30) UNION ALL SELECT 1, * FROM (SELECT page_id, left(url, 20) FROM pages ORDER BY page_id LIMIT 20)")
+@query("SELECT 0 AS source, * FROM (SELECT doc_id AS ord, text AS body FROM documents ORDER BY doc_id LIMIT 30) UNION ALL SELECT 1, * FROM (SELECT page_id, url FROM pages ORDER BY page_id LIMIT 20)")
 def q10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.left("text", F.lit(20)).alias("body"))
-    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.left("url", F.lit(20)).alias("body"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("text").alias("body"))
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.col("url").alias("body"))
     return merging.union_in_order([d, p], "ord", [30, 20]).select("source", "ord", "body")

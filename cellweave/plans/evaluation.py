@@ -36,13 +36,16 @@ def a13_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.select("q", F.round(metrics.average_precision(F.col("rel")), 6).alias("average_precision"), metrics.precision_at(F.col("rel"), 1).alias("p_at_1"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_distinct(string_split(lower(left(text, 200)), ' ')) AS g, list_distinct(string_split(lower(substr(text, 101, 200)), ' ')) AS p FROM documents),
-s AS (SELECT doc_id, len(list_intersect(g, p)) / len(p) AS pr, len(list_intersect(g, p)) / len(g) AS re FROM w)
+@query("""WITH h AS (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents), w AS (SELECT doc_id, list_distinct(w[:len(w) * 2 // 3]) AS g, list_distinct(w[len(w) // 3 + 1:]) AS p FROM h),
+s AS (SELECT doc_id, CASE WHEN len(p) = 0 THEN 0 ELSE len(list_intersect(g, p)) / len(p) END AS pr, CASE WHEN len(g) = 0 THEN 0 ELSE len(list_intersect(g, p)) / len(g) END AS re FROM w)
 SELECT doc_id, round(pr, 6) AS prec, round(re, 6) AS rec, round(CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END, 6) AS f1 FROM s""")
 def a14_set_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    g, p = F.split(F.lower(F.left("text", F.lit(200))), " "), F.split(F.lower(F.substring("text", 101, 200)), " ")
-    scores = metrics.set_scores(g, p)
+    """The first against the last two thirds of each text's words."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split(F.lower("text"), " ").alias("w"))
+    n = F.size("w")
+    third = F.floor(n / 3).cast("int")
+    d = d.select("doc_id", F.slice("w", 1, F.floor(n * 2 / 3).cast("int")).alias("g"), F.slice("w", third + 1, n - third).alias("p"))
+    scores = metrics.set_scores(F.col("g"), F.col("p"))
     return d.select("doc_id", *(F.round(s, 6).alias(n) for s, n in zip(scores, ("prec", "rec", "f1"), strict=True)))
 
 
@@ -54,14 +57,14 @@ def a19_paired_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.paired_changes(p, "b", "a").withColumn("p_value", F.round("p_value", 9))
 
 
-_NAME = "substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 12)"
+_NAME = "regexp_replace(text, '[^A-Za-z ]', '', 'g')"
 _SHAPES = f"""n AS (SELECT doc_id, trim({_NAME}) AS name, lang, source FROM documents WHERE trim({_NAME}) <> ''),
 a AS (SELECT doc_id, name, lang, source, '<' || name || ' [DESC] ' || lang || ' [TYPE] ' || source || '>' AS gold,
   CASE doc_id % 4 WHEN 0 THEN '<think>so </think> <' || name || ' [DESCRIPTION] ' || lang || ' [TYPE] ' || source || '></s>' WHEN 1 THEN '<''' || name || ''' [ desc ] ' || lang || ' [type] ' || source || '> tail' WHEN 2 THEN name ELSE '<' || name || '>' END AS raw FROM n)"""
 
 
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.trim(F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 12))
+    name = F.trim(F.regexp_replace("text", "[^A-Za-z ]", ""))
     d = table(spark, sf_dir, "documents").select("doc_id", name.alias("name"), "lang", "source").where(F.col("name") != "")
     rest = lambda a, b: F.concat(F.lit(a), "lang", F.lit(b), "source")
     nth = F.col("doc_id") % 4

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.operators import merging, metrics, pairs
@@ -66,7 +66,7 @@ def p9_json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "event_type", F.from_json("props", "k long")["k"].alias("k"))
 
 
-_PAIRS = """p AS (SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS accept, CASE WHEN u.turn % 3 = 0 THEN '' WHEN u.turn % 3 = 1 THEN left(a.text, 40) || '</s> more' ELSE left(a.text, 15) END AS reject
+_PAIRS = """p AS (SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS accept, CASE WHEN u.turn % 3 = 0 THEN '' WHEN u.turn % 3 = 1 THEN left(a.text, length(a.text) // 2) || '</s> more' ELSE left(a.text, length(a.text) // 3) END AS reject
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"""
 
 
@@ -75,23 +75,29 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
     a = c.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("accept"))
     nth = F.col("turn") % 3
-    cut = F.when(nth == 0, "").when(nth == 1, F.concat(F.left("accept", F.lit(40)), F.lit("</s> more"))).otherwise(F.left("accept", F.lit(15)))
+    cut = F.when(nth == 0, "").when(nth == 1, F.concat(F.left("accept", F.floor(F.length("accept") / 2).cast("int")), F.lit("</s> more"))).otherwise(F.left("accept", F.floor(F.length("accept") / 3).cast("int")))
     return u.join(a, ["conv_id", "turn"]).withColumn("reject", cut)
 
 
-@query(f"""WITH {_PAIRS}, r AS (SELECT CASE WHEN trim(accept) = '' OR trim(reject) = '' THEN 'missing_field' WHEN reject LIKE '%</s> more' THEN 'collapsed' WHEN length(accept) / greatest(1, length(reject)) > 10 THEN 'ratio' END AS drop_reason FROM p)
+@query(f"""WITH {_PAIRS}, r AS (SELECT CASE WHEN trim(accept) = '' OR trim(reject) = '' THEN 'missing_field' WHEN reject LIKE '%</s> more' THEN 'collapsed' WHEN length(accept) / greatest(1, length(reject)) > 3.005 THEN 'ratio' END AS drop_reason FROM p)
 SELECT coalesce(drop_reason, 'kept') AS step, count(*) AS n FROM r GROUP BY 1""")
 def q16_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = conversation_pairs(spark, sf_dir)
     first = pairs.collapse_reason(F.col("accept"), F.col("reject"))
-    steps = [("missing_field", first == "missing_field"), ("collapsed", first == "collapsed"), *pairs.length_filters(F.length("prompt"), F.length("accept"), F.length("reject"), 10_000_000, 10.0)]
+    steps = [("missing_field", first == "missing_field"), ("collapsed", first == "collapsed"), *pairs.length_filters(F.length("prompt"), F.length("accept"), F.length("reject"), 10_000_000, 3.005)]
     return pairs.funnel(p, steps).groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("step")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT u.conv_id, u.turn, u.text AS question, a.text AS output FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'""")
+@query("""WITH u AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations WHERE role = 'assistant')
+SELECT conv_id, nth, u.text AS question, a.text AS output FROM u JOIN a USING (conv_id, nth)""")
 def j9_zip_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = conversation_pairs(spark, sf_dir)
-    return merging.zip_rows(p.select("conv_id", "turn", F.col("prompt").alias("question")), p.select("conv_id", "turn", F.col("accept").alias("output")), ["conv_id", "turn"])
+    """The nth question of a conversation beside its nth answer, where both sides have as many."""
+    nth = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn"))
+    c = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant")).withColumn("nth", nth.cast("long"))
+    n = c.groupBy("conv_id").agg(F.max(F.when(F.col("role") == "user", F.col("nth"))).alias("u"), F.max(F.when(F.col("role") == "assistant", F.col("nth"))).alias("a"))
+    c = c.join(n.na.fill(0), "conv_id").where(F.col("nth") <= F.least("u", "a"))
+    side = lambda role, name: c.where(F.col("role") == role).select("conv_id", "nth", F.col("text").alias(name))
+    return merging.zip_rows(side("user", "question"), side("assistant", "output"), ["conv_id", "nth"])
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

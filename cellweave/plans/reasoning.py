@@ -18,14 +18,9 @@ _PHRASES = [
 ]
 
 
-# The SQL of q11, a7 and t13 reads so many letters of a text; their plans have to read as many.
-_SQL_LETTERS = 300
-
-
-def thoughts(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
-    """Reasoning texts made from whole documents, or from the first `most` letters."""
-    letters = F.regexp_replace("text", "[^A-Za-z .]", "")
-    d = table(spark, sf_dir, "documents").select("doc_id", (letters if most is None else F.substring(letters, 1, most)).alias("t"))
+def thoughts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasoning texts made from whole documents."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z .]", "").alias("t"))
     nth = (F.col("doc_id") % len(_PHRASES)).cast("int")
     body = F.concat(F.get(F.array(*map(F.lit, _PHRASES)), nth), F.lit(" "), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("t")))
     return d.select("doc_id", F.when(F.col("doc_id") % 7 == 6, body).otherwise(F.concat(F.lit("<think>\n"), body, F.lit("\n</think>\n<Y [DESC] a [TYPE] b>"))).alias("output"))
@@ -36,7 +31,7 @@ def _sql_hits(patterns: list[str], of: str) -> str:
 
 
 _CASES = " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PHRASES))
-_THOUGHTS = f"""b AS (SELECT doc_id, (CASE doc_id % {len(_PHRASES)} {_CASES} END) || ' ' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE substr(regexp_replace(text, '[^A-Za-z .]', '', 'g'), 1, 300) END AS body FROM documents),
+_THOUGHTS = f"""b AS (SELECT doc_id, (CASE doc_id % {len(_PHRASES)} {_CASES} END) || ' ' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE regexp_replace(text, '[^A-Za-z .]', '', 'g') END AS body FROM documents),
 h AS (SELECT doc_id, doc_id % 7 <> 6 AS has, CASE WHEN doc_id % 7 = 6 THEN '' ELSE trim(body) END AS think, body FROM b),
 f AS (SELECT doc_id, has, think, length(think) AS chars, {_sql_hits(R.TEMPLATE, "think")} AS template, {_sql_hits(R.EVIDENCE, "think")} AS evidence, {_sql_hits(R.JUSTIFY, "think")} AS justify, {_sql_hits(R.CONTRAST, "think")} AS contrast,
   {_sql_hits(R.LEAKAGE, "think")} AS leakage, {_sql_hits(R.RAMBLE, "think")} AS ramble, {_sql_hits(R.REFUSAL, "body")} AS refusal, has AND contains(think, '<X [DESC]') AS other FROM h),
@@ -48,7 +43,7 @@ t AS (SELECT *, CASE WHEN NOT has OR chars = 0 OR refusal > 0 OR (chars < 40 AND
 
 @query(f"WITH {_THOUGHTS} SELECT doc_id, score, tag FROM t")
 def q11_low_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.low_info(thoughts(spark, sf_dir, _SQL_LETTERS), "output").select("doc_id", "score", "tag")
+    return quality.low_info(thoughts(spark, sf_dir), "output").select("doc_id", "score", "tag")
 
 
 @query(f"""WITH {_THOUGHTS}, r AS (SELECT unnest([CASE WHEN evidence = 0 THEN 'no_evidence_terms' END, CASE WHEN justify = 0 AND contrast = 0 THEN 'no_justification' END, CASE WHEN chars < 80 THEN 'short_think<80' END,
@@ -56,12 +51,12 @@ def q11_low_info(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN evidence > 0 AND (justify > 0 OR contrast > 0) THEN 'grounded_and_justified' END, CASE WHEN contrast > 0 THEN 'has_contrast' END, CASE WHEN evidence >= 3 THEN 'rich_evidence' END]) AS reason FROM t)
 SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY 1 ORDER BY n DESC, reason LIMIT 20""")
 def a7_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.reason_counts(quality.low_info(thoughts(spark, sf_dir, _SQL_LETTERS), "output"))
+    return quality.reason_counts(quality.low_info(thoughts(spark, sf_dir), "output"))
 
 
 @query(f"WITH {_THOUGHTS} SELECT doc_id, trim(think) AS think, '<Y [DESC] a [TYPE] b>' AS entity FROM t WHERE has")
 def t13_parsed_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = thoughts(spark, sf_dir, _SQL_LETTERS).select("doc_id", R.parse_output(F.col("output")).alias("p")).where(F.col("p").isNotNull())
+    p = thoughts(spark, sf_dir).select("doc_id", R.parse_output(F.col("output")).alias("p")).where(F.col("p").isNotNull())
     return p.select("doc_id", "p.think", "p.entity")
 
 

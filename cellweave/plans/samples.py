@@ -138,11 +138,13 @@ def t46_name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.element_at(v, -1).alias("low"), F.size(v).alias("n"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(left(text, 400)), '[^a-z0-9]+'), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(right(text, 400)), '[^a-z0-9]+'), lambda x: x <> '')) AS b FROM documents)
+@query("""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents), w AS (SELECT doc_id, list_distinct(w[:len(w) // 2]) AS a, list_distinct(w[len(w) // 2 + 1:]) AS b FROM t)
 SELECT doc_id, round(len(list_intersect(a, b)) / greatest(1, len(list_distinct(list_concat(a, b)))), 6) AS overlap FROM w""")
 def m4_context_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = lambda x: F.array_distinct(F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda t: t != ""))
-    d = table(spark, sf_dir, "documents").select("doc_id", of(F.left("text", F.lit(400))).alias("a"), of(F.right("text", F.lit(400))).alias("b"))
+    """The first half of each text's words against the second."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: t != "").alias("w"))
+    half = F.floor(F.size("w") / 2).cast("int")
+    d = d.select("doc_id", F.array_distinct(F.slice("w", 1, half)).alias("a"), F.array_distinct(F.slice("w", half + 1, F.greatest(F.size("w"), F.lit(1)))).alias("b"))
     return d.select("doc_id", F.round(scoring.jaccard(F.col("a"), F.col("b")), 6).alias("overlap"))
 
 
@@ -165,7 +167,7 @@ def a8_compression_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def t36_shortened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reasoning cut to sentences and characters; tested against a plain version."""
+    """Reasoning of whole texts cut to three sentences and 120 characters."""
     return thoughts(spark, sf_dir).select("doc_id", R.shortened(F.coalesce(R.think_of(F.col("output")), F.lit("")), 3, 120).alias("short"))
 
 
