@@ -34,7 +34,7 @@ from cellweave.llm import worker
 # Fixed value: the public split pattern of byte-level BPE vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_CACHE_BYTES = 40_000_000  # of pieces kept in each of two generations
+_CACHE_BYTES = {"automaton": 64_000_000, "merges": 24_000_000}  # of pieces kept in each of two generations
 _ENTRY_BYTES = 220  # an entry's share of its dict and the heads of its objects
 _LONG_CHUNK = 256  # longer chunks are encoded without being kept
 
@@ -166,9 +166,9 @@ class Automaton:
 class _Chunks(dict):
     """Piece of text -> its ids as little-endian uint32 bytes; two generations of bounded bytes."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int):
         super().__init__()
-        self.encode, self.old, self.left = encode, {}, _CACHE_BYTES
+        self.encode, self.old, self.left, self.most = encode, {}, most, most
 
     def __missing__(self, piece: str) -> bytes | None:
         got = self.old.get(piece, self)
@@ -179,7 +179,7 @@ class _Chunks(dict):
             if self.left < 0:
                 self.old = dict(self)
                 self.clear()
-                self.left = _CACHE_BYTES
+                self.left = self.most
             self[piece] = got
         return got
 
@@ -201,9 +201,8 @@ class Tokenizer:
         added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         merges = [tuple(map(as_bytes, m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
         vocab = {as_bytes(t): i for t, i in model["vocab"].items() if t not in added}
-        self.automaton = Automaton(vocab, merges)
         self.added = added
-        self.labels = self.automaton.labels | {i: t.encode() for t, i in added.items()}
+        self.labels = {i: t for t, i in vocab.items()} | {i: t.encode() for t, i in added.items()}
         self._label_list = [self.labels.get(i, b"") for i in range(max(self.labels) + 1)]
         self._split = regex.compile(SPLIT).findall
         self._at_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
@@ -212,11 +211,13 @@ class Tokenizer:
             import tiktoken  # merges by id, so the ids must rise with the merge ranks
 
             self._compiled = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=vocab, special_tokens={}).encode_ordinary
-        self._word_ids = _Chunks(self._word)
-        self._piece_ids = _Chunks(self._piece)
+        # One of the two is made, as a worker needs no more.
+        self.automaton = None if self._compiled else Automaton(vocab, merges)
+        self._word_ids = _Chunks(self._word, _CACHE_BYTES[engine] // 4)
+        self._piece_ids = _Chunks(self._piece, _CACHE_BYTES[engine])
 
     def _word(self, word: str) -> bytes:
-        return array("I", self.automaton.path(word.encode())).tobytes()
+        return array("I", self._compiled(word) if self._compiled else self.automaton.path(word.encode())).tobytes()
 
     def _words(self, text: str) -> bytes:
         return b"".join(map(self._word_ids.__getitem__, self._split(text)))

@@ -16,6 +16,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,11 +27,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellweave.llm import worker
+
 UNDETERMINED = "und"
 START = "▁"
 _WORDS = regex.compile(r"\p{L}+").findall
-_CACHE_ROWS = 400_000
-_SHORT = 40  # longer words are scored one by one, with scaling
+_CACHE_ROWS = 250_000  # words whose scores a worker keeps
+_SHORT = 24  # longer words are taken one by one, with scaling
 _BLOCK_TEXTS = 256  # texts whose new words are scored together
 
 
@@ -80,7 +83,7 @@ class Unigrams:
                 if row is not None:
                     now = now + alpha[start] * row
             alpha.append(now)
-            if end % 32 == 0:  # keep long words above underflow; older entries share the factor
+            if end % 16 == 0:  # keep long words above underflow; older entries share the factor
                 down = 1 / np.maximum(now, 1e-290)
                 scale -= np.log(down)
                 for i in range(max(0, end - longest), end + 1):
@@ -92,7 +95,10 @@ def _expected(counts: dict[str, int], rows: dict[str, float], floor: float, long
     """Expected piece counts of words under one language's probabilities (forward-backward)."""
     out: dict[str, float] = defaultdict(float)
     for word, n in counts.items():
-        w = (START + word)[:200]  # training only: a longer run of letters teaches by its first 200
+        w = START + word
+        if len(word) > _SHORT:
+            _expected_long(w, n, rows, floor, longest, out)
+            continue
         size = len(w)
         arcs = [(i, j, p) for j in range(1, size + 1) for i in range(max(0, j - longest), j) if (p := rows.get(w[i:j], floor if j - i == 1 else None)) is not None]
         alpha, beta = [0.0] * (size + 1), [0.0] * (size + 1)
@@ -101,14 +107,36 @@ def _expected(counts: dict[str, int], rows: dict[str, float], floor: float, long
             alpha[j] += alpha[i] * p
         for i, j, p in reversed(arcs):
             beta[i] += p * beta[j]
-        total = alpha[size]
-        if total > 0:
-            for i, j, p in arcs:
-                if (share := alpha[i] * p * beta[j] / total) > 1e-9:
-                    out[w[i:j]] += n * share
+        for i, j, p in arcs:
+            if (share := alpha[i] * p * beta[j] / alpha[size]) > 1e-9:
+                out[w[i:j]] += n * share
     return out
 
 
+def _expected_long(w: str, n: int, rows: dict[str, float], floor: float, longest: int, out: dict[str, float]) -> None:
+    """The same for a word of any length: positions hold logarithms, and arcs are made again instead of kept."""
+    size = len(w)
+    alpha, beta = [0.0] * (size + 1), [0.0] * (size + 1)
+
+    def arcs(fixed: int, to: range, forward: bool) -> list[tuple[int, str, float]]:
+        found = []
+        for k in to:
+            piece = w[k:fixed] if forward else w[fixed:k]
+            if (p := rows.get(piece, floor if len(piece) == 1 else None)) is not None:
+                found.append((k, piece, math.log(p)))
+        return found
+
+    for side, order, reach in ((alpha, range(1, size + 1), lambda j: range(max(0, j - longest), j)), (beta, range(size - 1, -1, -1), lambda i: range(i + 1, min(size, i + longest) + 1))):
+        for at in order:
+            logs = [side[k] + p for k, _, p in arcs(at, reach(at), side is alpha)]
+            most = max(logs)
+            side[at] = most + math.log(sum(math.exp(x - most) for x in logs))
+    for j in range(1, size + 1):
+        for i, piece, p in arcs(j, range(max(0, j - longest), j), True):
+            if (share := math.exp(alpha[i] + p + beta[j] - alpha[size])) > 1e-9:
+                out[piece] += n * share
+
+
 def learn(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = 2, smoothing: float = 0.05) -> Unigrams:
     """Probabilities from word counts per language. The first round starts from piece lengths alone."""
     langs = sorted(counts)
@@ -131,9 +159,10 @@ def learn(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = 2,
 class _Scores(dict):
     """Word -> its row in a table of scores; starts anew when the table is full."""
 
-    def __init__(self, model: Unigrams):
+    def __init__(self, model: Unigrams, source: object):
         super().__init__()
         self.model, self.table = model, np.empty((_CACHE_ROWS, len(model.langs)))
+        self.source = source  # kept, so that its address isn't used again
 
     def _learn(self, words: set[str]) -> None:
         by_size: dict[int, list[str]] = defaultdict(list)
@@ -188,54 +217,55 @@ def train(df: DataFrame, vocab_path: str, eligible: Column, id_col: str = "doc_i
     return learn(counts, vocabulary_pieces(vocab_path))
 
 
+def _send(df: DataFrame, model: Unigrams):
+    return df.sparkSession.sparkContext.broadcast((model.langs, model.pieces, model.table, model.floor))
+
+
+def _scored(sent, column: pa.Array) -> Iterator[tuple[str, float]]:
+    """Language and score of each text of a batch."""
+    scores = worker.held(("language", id(sent.value)), lambda: _Scores(Unigrams(*sent.value), sent.value))
+    langs = scores.model.langs
+    for at in range(0, len(column), _BLOCK_TEXTS):
+        texts = [_WORDS((x.as_py() or "").lower()) if langs else [] for x in column[at : at + _BLOCK_TEXTS]]
+        for words, logs in zip(texts, scores.of(texts), strict=True):
+            if words:
+                best = int(logs.argmax())
+                yield langs[best], float(1 / np.exp(np.minimum(logs - logs[best], 0)).sum())
+            else:
+                yield UNDETERMINED, 0.0
+
+
 def predict(df: DataFrame, model: Unigrams, text_col: str = "text", pass_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """pass_cols with lang_pred and score."""
-    kept = [df.schema[c] for c in pass_cols]
+    """pass_cols (but for such of the same names) with lang_pred and score."""
+    kept = [df.schema[c] for c in pass_cols if c not in ("lang_pred", "score")]
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    sent = df.sparkSession.sparkContext.broadcast((model.langs, model.pieces, model.table, model.floor))
+    sent = _send(df, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = _worker_scores(sent)
-        langs = scores.model.langs
         for batch in batches:
-            pred, share = [], []
-            column = batch.column("__text")
-            for at in range(0, len(column), _BLOCK_TEXTS):
-                texts = [_WORDS((x.as_py() or "").lower()) if langs else [] for x in column[at : at + _BLOCK_TEXTS]]
-                for words, logs in zip(texts, scores.of(texts), strict=True):
-                    best = int(logs.argmax()) if words else -1
-                    pred.append(langs[best] if words else UNDETERMINED)
-                    share.append(float(1 / np.exp(np.minimum(logs - logs[best], 0)).sum()) if words else 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(pred, pa.string()), pa.array(share, pa.float64())], names=schema.names)
+            pred, share = zip(*_scored(sent, batch.column(len(kept))), strict=True) if len(batch) else ((), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(pred, pa.string()), pa.array(share, pa.float64())], names=schema.names)
 
-    return df.select(*pass_cols, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return df.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
-def lettered(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df's rows whose text has a letter: those that predict() gives a language once a model has any."""
-    columns = df.columns
+def identified(df: DataFrame, model: Unigrams, text_col: str = "text") -> DataFrame:
+    """df's rows that predict() gives a language. Where the model has none, the rows whose text has a letter: those
+    that it would give one once it had any."""
+    columns, sent = df.columns, _send(df, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(columns.index(text_col))
-            yield batch.filter(pa.array([bool(_WORDS((x.as_py() or "").lower())) for x in texts], pa.bool_()))
+            if sent.value[0]:
+                keep = [lang != UNDETERMINED for lang, _ in _scored(sent, texts)]
+            else:
+                keep = [bool(_WORDS((x.as_py() or "").lower())) for x in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
 
-_held: dict[int, _Scores] = {}
-
-
-def _worker_scores(sent) -> _Scores:
-    """One table of scores per worker process and model."""
-    key = id(sent.value)
-    if key not in _held:
-        _held.clear()
-        _held[key] = _Scores(Unigrams(*sent.value))
-        _held[key].kept = sent.value  # so that its address isn't used again
-    return _held[key]
-
-
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that nothing is learned from: crc32 of the id as text leaves remainder 1 by 3."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))

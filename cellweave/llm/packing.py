@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellweave.llm import bpe_automaton
-from cellweave.llm.scratch import cut
+from cellweave.llm.scratch import cut, small_batches
 
 Pattern = list[tuple[int, int]]  # (length, how many of it side by side), in the sequence's order
 
@@ -216,7 +216,8 @@ def pack(df: DataFrame, vocab_path: str, capacity: int = 2048, end_id: int = 0,
     which the first may be shorter. Returns per piece id_col, piece, start, length, ids_crc32, sequence_id, offset,
     and ids if asked for. Sequences are gapless from offset 0.
     """
-    written = cut(pieces(df, vocab_path, capacity, end_id, id_col, text_col, ids), "pieces")
+    with small_batches(df.sparkSession):
+        written = cut(pieces(df, vocab_path, capacity, end_id, id_col, text_col, ids), "pieces")
     by_part = written.groupBy("part", "length").agg(F.max("nth").alias("last"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     by_part = cut(by_part.select("part", "length", (F.col("last") + 1).alias("n"), F.coalesce(F.sum(F.col("last") + 1).over(before), F.lit(0)).alias("base")), "counts")

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellweave.llm import worker
+
 KINDS = ("email", "ip", "card", "phone")
 
 # Letters of other scripts that look like an ASCII letter.
@@ -288,6 +290,7 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     fields = df.schema.fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()  # what earlier stages left
         for batch in batches:
             cols = [batch.column(f.name) for f in fields]
             i = df_names.index(text_col)

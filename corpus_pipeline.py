@@ -2,6 +2,18 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents. A stage's scratch tables go when the next one begins.
+
+What each stage does with odd rows:
+
+* Null text: language ID drops it; later stages would treat it as empty (equal to other empty texts in exact dedup, linked
+  with nothing in the n-gram join, kept null by PII, packed as the end token).
+* Empty text, or text without a letter: dropped by language ID.
+* Null ids and repeated ids: rows are told apart by a key of their own, so a row is dropped only for its own text. Of
+  copies the largest id stays in exact dedup, the smallest in the n-gram join; a null id is smaller than any other.
+* Repeated rows: one of them stays after exact dedup.
+* Very long texts are read whole. An empty table gives an empty one with the same columns.
+* Further columns pass through the first four stages unchanged, whatever their names (lang_pred, score, digest and the
+  like included); a missing n_chars isn't made up. The last stage returns its own columns.
 """
 
 from __future__ import annotations
@@ -14,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm import exact_dedup, language_id, ngram_join, packing, pii
-from cellweave.llm.scratch import cut, drop_owned, owned_by
+from cellweave.llm.scratch import cut, drop_owned, owned_by, small_batches
 from cellweave.llm.tables import read
 
 _BROADCAST_KEYS = 200_000  # keys of dropped rows sent to all tasks; more are joined by a shuffle
@@ -48,10 +60,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drop documents without a language: no text, or no letter in it. Where no labelled row may be learned from,
     and so no language is known, the texts are held to the same rule without a model."""
     model = language_id.train(docs, public_tokenizers.path("piece_bpe_32k.model"), ~language_id.held_out())
-    if not model.langs:
-        return language_id.lettered(docs)
-    found = language_id.predict(docs, model, pass_cols=tuple(docs.columns))
-    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(docs.columns)
+    with small_batches(spark):
+        return cut(language_id.identified(docs, model), "identified")
 
 
 @_stage
@@ -74,8 +84,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 @_stage
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put the kind in place of personal data; n_chars follows the text."""
-    clean = pii.redact(docs)
-    return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    with small_batches(spark):
+        clean = cut(pii.redact(docs), "redacted")
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(docs.columns)
 
 
 @_stage

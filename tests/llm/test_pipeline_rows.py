@@ -33,3 +33,40 @@ def test_dedup_stages_with_null_and_repeated_ids(spark, stage):
     assert got.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
     kept = 8 if stage == "drop_copies" else 5
     assert sorted((r["text"], r["doc_id"] or 0) for r in got.collect()) == sorted([(a, 0), (b, 3), (c, kept), (d, 5), (e, 8), ("", 0)])
+
+
+CLASHES = "lang_pred string, score double, digest string, fp string, n long, sig string, keep_id long, spans string, part string, text_hash string, id string, batch string"
+
+
+@pytest.mark.parametrize("stage", ["identify_language", "drop_copies", "drop_near_copies", "redact_pii"])
+def test_stages_with_clashing_columns_and_empty_tables(spark, stage):
+    texts = [" ".join(f"{x}{i}" for i in range(30)) + " a@b.org" for x in ("red", "blue", "old")]
+    rows = [(i, t, "en", "s", len(t), "x", 0.5, "d", "f", 3, "s", 9, "p", "q", "h", "i", "b") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, f"{DOCS}, {CLASHES}")
+    run = getattr(corpus_pipeline, stage)
+    got = run(spark, docs, "")
+    assert got.columns == docs.columns
+    plain = sorted(tuple(r) for r in got.collect())
+    if stage == "redact_pii":
+        assert [r[1] for r in plain] == [t.replace("a@b.org", "<EMAIL>") for t in texts] and [r[4] for r in plain] == [len(t) for t in texts] and [r[5:] for r in plain] == [r[5:] for r in rows]
+    else:
+        assert plain == rows
+    none = run(spark, docs.limit(0), "")
+    assert none.count() == 0 and none.columns == docs.columns
+
+
+def test_redaction_without_a_length_column(spark):
+    docs = spark.createDataFrame([(1, "a@b.org"), (2, None)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in corpus_pipeline.redact_pii(spark, docs, "").collect()) == [(1, "<EMAIL>"), (2, None)]
+
+
+def test_packing_clashing_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "a b", 1, 2), (5, "a b", 1, 2), (5, "a b", 1, 2), (6, None, 1, 2)], "doc_id long, text string, piece long, part long")
+    got = corpus_pipeline.pack_sequences(spark, docs, "")
+    assert got.schema["piece"].dataType.simpleString() == "int"
+    rows = got.collect()
+    assert sorted(r["doc_id"] or 0 for r in rows) == [0, 5, 5, 6] and len({r["sequence_id"] for r in rows}) == 1
+    at = 0
+    for r in sorted(rows, key=lambda r: r["offset"]):
+        assert r["offset"] == at
+        at += r["length"]
