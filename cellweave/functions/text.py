@@ -131,6 +131,28 @@ def prompt(instruction: Column, input_seg: Column, q: Column) -> Column:
     return F.concat(F.lit("### Instruction:\n"), instruction, F.lit("\n\n### Input:\n"), input_seg, F.lit("\n\n### Question:\n"), q, F.lit("\n\n### Response:\n"))
 
 
+# The instructions of the prompt templates, and the rules that one of them adds to its question.
+PLAIN_TASK = "entity linking task. choose only the correct one from the referent entity candidates."
+HINT = " In the Input below, the table content only contains the caption (if any), all column headers, and the cells from the same row and same column as the selected entity mention."
+REASONING_RULES = (
+    "Reasoning requirements:\n"
+    "1) Use context evidence only (page/section/caption + row/column + candidate [DESCRIPTION]/[TYPE]).\n"
+    "2) Keep reasoning concise; do NOT restate the full table/question/candidate list.\n"
+    "3) Do NOT copy/paste candidate lists from the input; only cite minimal distinguishing evidence.\n"
+    "4) The reasoning should support the same final entity you output after </think>.\n"
+    "5) Reasoning is mandatory: include non-empty reasoning content before the final entity; do not output answer-only.\n\n"
+    "After reasoning, output exactly one referent entity in candidate format (e.g. <EntityName [DESCRIPTION] ... [TYPE] ...>)."
+)
+
+
+def task_prompt(input_seg: Column, q: Column, template: str = "hint") -> Column:
+    """A prompt for one sample: "plain", with a "hint" on what the table holds, or with the hint and "rules" for reasoning.
+    It ends where the response is to begin."""
+    task = PLAIN_TASK + ("" if template == "plain" else HINT)
+    rules = f"\n\n{REASONING_RULES}" if template == "rules" else ""
+    return F.concat(F.lit(f"### Instruction:\n{task}\n\n### Input:\n"), blank_if_null(input_seg), F.lit("\n\n### Question:\n"), blank_if_null(q), F.lit(f"{rules}\n\n### Response:"))
+
+
 def prompt_question(p: Column) -> Column:
     return F.regexp_extract(p, r"(?s)### Question:\n(.*?)\n\n### Response:", 1)
 
@@ -158,9 +180,43 @@ def query_literal(x: Column) -> Column:
     return F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
 
 
-def wait_seconds(message: Column, default: float = 600.0) -> Column:
-    """Seconds that a rate-limit message asks to wait ("try again in 3 m")."""
-    number = F.regexp_extract(message, r"(?i)try again in\s+([0-9]+(?:\.[0-9]+)?)\s*(ms|s|m|h)", 1)
-    unit = F.lower(F.regexp_extract(message, r"(?i)try again in\s+[0-9]+(?:\.[0-9]+)?\s*(ms|s|m|h)", 1))
-    factor = F.when(unit == "ms", 0.001).when(unit == "s", 1.0).when(unit == "m", 60.0).otherwise(3600.0)
-    return F.when(number == "", F.lit(default)).otherwise(F.try_to_number(number, F.lit("999999999.999")).cast("double") * factor)
+# The units of a wait in seconds, and what marks a message as one about limits.
+UNITS = {"ms": 0.001, "millisecond": 0.001, "milliseconds": 0.001, "m": 60.0, "min": 60.0, "mins": 60.0, "minute": 60.0, "minutes": 60.0, "h": 3600.0, "hr": 3600.0, "hrs": 3600.0, "hour": 3600.0, "hours": 3600.0}
+LIMIT_WORDS = ("rate limit", "too many requests", "quota", "requests limit", "request limit")
+
+
+def _positive(x: Column) -> Column:
+    number = x.try_cast("double")
+    return F.when(number > 0, number)
+
+
+def _told(message: Column, words: str) -> Column:
+    """Seconds after some words of a message, null if they aren't there."""
+    form = rf"(?i){words}\s+([0-9]+(?:\.[0-9]+)?)\s*(milliseconds?|ms|minutes?|mins?|m|hours?|hrs?|h)?"
+    unit = F.lower(F.regexp_extract(message, form, 2))
+    factor = F.lit(1.0)
+    for name, seconds in UNITS.items():
+        factor = F.when(unit == name, seconds).otherwise(factor)
+    return _positive(_positive(F.regexp_extract(message, form, 1)) * factor)
+
+
+def wait_seconds(message: Column, headers: Column | None = None, now: Column | None = None, default: float = 600.0) -> Column:
+    """Seconds to wait after a limit: what the headers (a map, lower-case names) say, else what the message says ("try
+    again in 3 m", "resets in 90s"), else the default. A reset is a moment if it lies after `now`, else a length."""
+    ways = []
+    if headers is not None:
+        get = lambda name: F.try_element_at(headers, F.lit(name))
+        ways += [_positive(get("retry-after-ms")) / 1000, _positive(get("retry-after"))]
+        reset = F.coalesce(*(F.nullif(get(n), F.lit("")) for n in ("x-ratelimit-reset", "x-rate-limit-reset", "ratelimit-reset"))).try_cast("double")
+        at = F.unix_timestamp().cast("double") if now is None else now
+        ways.append(_positive(F.when(reset > at + 1, reset - at).otherwise(reset)))
+    return F.coalesce(*ways, _told(message, "try again in"), _told(message, r"resets?\s+in"), F.lit(default))
+
+
+def is_limit_error(message: Column, status: Column | None = None) -> Column:
+    """Whether an error is about limits: by its status, or by its words."""
+    low = F.lower(blank_if_null(message))
+    said = F.lit(False)
+    for w in LIMIT_WORDS:
+        said = said | F.contains(low, F.lit(w))
+    return said if status is None else F.coalesce(status == 429, F.lit(False)) | said

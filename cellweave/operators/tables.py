@@ -92,6 +92,25 @@ def seg_rows(seg: Column) -> Column:
     return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"(?i)^row\s+(\d+)", 1).cast("int").alias("number"), cells(p).alias("cells"), p.alias("text")))
 
 
+def row_cells(row: Column, mode: str = "bars") -> Column:
+    """Cells of one row's text. "bars" leaves blank ones out and takes a row without bars as one cell; "strict" has none
+    for such a row; "blanks" keeps blank cells between the outer bars."""
+    body = F.regexp_extract(row, r"(?is)^\s*row\s+\d+\s*:(.*)$", 1)
+    if mode == "strict":
+        inner = F.regexp_extract(row, r"(?s)^[^|]*\|(.*)$", 1)
+        return F.filter(F.transform(F.split(inner, r"\|"), strip), lambda c: c != "")
+    parts = F.transform(F.split(F.when(body == "", row).otherwise(body), r"\|"), strip)
+    filled = F.filter(parts, lambda c: c != "")
+    if mode == "blanks":
+        return F.when(F.size(parts) >= 2, F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))).otherwise(filled)
+    return filled
+
+
+def row_number_of(row: Column) -> Column:
+    """The number of a row's text whose prefix is just "row N", else null."""
+    return F.regexp_extract(row, r"(?i)^\s*row\s+(\d+)\s*:", 1).try_cast("int")
+
+
 def find_entity(seg: Column, mention: Column, column_name: Column) -> Column:
     """struct(row, col) from 0: the column by header name, and the first row whose cell there contains the mention;
     null if there is none."""

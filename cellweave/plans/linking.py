@@ -226,16 +226,42 @@ def a17_merge_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GRAMS = "list_concat(CASE WHEN length(x) <= 3 THEN [x] ELSE list_transform(range(1, length(x) - 1), lambda i: x[i:i+2]) END, CASE WHEN length(x) <= 4 THEN [x] ELSE list_transform(range(1, length(x) - 2), lambda i: x[i:i+3]) END)"
 
 
-@query(f"""WITH {_MERGE}, tx AS (SELECT DISTINCT '<' || n_name || ' [DESCRIPTION] d [TYPE] t>' AS t FROM nation), gr AS (SELECT t, unnest({_GRAMS}) AS gram FROM (SELECT t, lower(t[2:-2]) AS x FROM tx)), ct AS (SELECT t, gram, count(*) AS n FROM gr GROUP BY 1, 2), sz AS (SELECT t, sqrt(sum(n * n)) AS size FROM ct GROUP BY 1),
+_HARD = f"""{_MERGE}, tx AS (SELECT DISTINCT '<' || n_name || ' [DESCRIPTION] d [TYPE] t>' AS t FROM nation), gr AS (SELECT t, unnest({_GRAMS}) AS gram FROM (SELECT t, lower(t[2:-2]) AS x FROM tx)), ct AS (SELECT t, gram, count(*) AS n FROM gr GROUP BY 1, 2), sz AS (SELECT t, sqrt(sum(n * n)) AS size FROM ct GROUP BY 1),
 co AS (SELECT p.t AS a, q.t AS b, round(sum(p.n * q.n) / (any_value(sp.size) * any_value(sq.size)), 9) AS cosine FROM ct p JOIN ct q USING (gram) JOIN sz sp ON sp.t = p.t JOIN sz sq ON sq.t = q.t GROUP BY 1, 2),
 u AS (SELECT c_custkey, gold, unnest(c) AS x, unnest(range(len(c))) AS i FROM d), f AS (SELECT c_custkey, gold, x, min(i) AS i FROM u WHERE x <> gold GROUP BY 1, 2, 3),
 r AS (SELECT f.*, row_number() OVER (PARTITION BY c_custkey ORDER BY coalesce(cosine, 0) DESC, i) AS r FROM f LEFT JOIN co ON co.a = f.x AND co.b = f.gold),
 o AS (SELECT c_custkey, [gold] || coalesce(list(x ORDER BY r) FILTER (r <= 19), []) AS picked FROM (SELECT c_custkey, gold FROM d) LEFT JOIN (SELECT c_custkey, x, r FROM r) USING (c_custkey) GROUP BY c_custkey, gold),
-w AS (SELECT c_custkey, unnest(picked) AS x, unnest(range(len(picked))) AS i FROM o), sh AS (SELECT c_custkey, string_agg(x, ', ' ORDER BY md5('42|' || c_custkey || '|' || x || '|' || i)) AS s, count(*) AS n_candidates FROM w GROUP BY 1)
-SELECT c_custkey AS ord, n_candidates, md5({_QUESTION.format("s")}) AS digest FROM d JOIN sh USING (c_custkey)""")
+w AS (SELECT c_custkey, unnest(picked) AS x, unnest(range(len(picked))) AS i FROM o), sh AS (SELECT c_custkey, string_agg(x, ', ' ORDER BY md5('42|' || c_custkey || '|' || x || '|' || i)) AS s, count(*) AS n_candidates FROM w GROUP BY 1),
+hard AS (SELECT c_custkey AS ord, c_nationkey AS tab, n_candidates, md5({_QUESTION.format("s")}) AS digest FROM d JOIN sh USING (c_custkey))"""
+
+
+@query(f"WITH {_HARD} SELECT ord, n_candidates, digest FROM hard")
 def t28_hard_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions rebuilt with the gold answer and the 19 candidates most like it, in random order."""
     data, _ = merge_input(spark, sf_dir)
     c = scoring.hard_negatives(text.question_candidates(F.col("question")), F.col("output"), 19)
     d = data.withColumn("c", sampling.shuffled(c, 42, F.col("ord")))
     return d.select("ord", F.size("c").cast("long").alias("n_candidates"), F.md5(text.with_candidates(F.col("question"), F.col("c"))).alias("digest"))
+
+
+@query(f"""WITH {_HARD}, tb AS (SELECT tab, min(ord) AS first, max(ord) AS last FROM hard GROUP BY 1), cut AS (SELECT first FROM tb ORDER BY first LIMIT 1 OFFSET 10), lt AS (SELECT tab, last FROM tb ORDER BY last DESC LIMIT 5)
+SELECT 'train' AS split, tab, ord, digest FROM (SELECT *, row_number() OVER (PARTITION BY tab ORDER BY md5('42|' || ord)) AS r FROM hard WHERE ord < (SELECT first FROM cut)) WHERE r = 1
+UNION ALL SELECT 'val', tab, ord, digest FROM (SELECT *, row_number() OVER (PARTITION BY tab ORDER BY md5('7|' || ord)) AS r FROM hard WHERE tab IN (SELECT tab FROM lt)) WHERE r = 1
+UNION ALL SELECT 'eval', hard.tab, ord, digest FROM hard JOIN lt ON ord = last""")
+def q8_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training rows of the first ten tables, validation rows of the last five, evaluation on their last rows, all with
+    their candidates rebuilt round the gold answer."""
+    data, _ = merge_input(spark, sf_dir)
+    tab = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), F.col("c_nationkey").alias("tab"))
+    rows = data.join(tab, "ord").select("tab", "ord", "question", "output")
+    last = sampling.last_tables(rows, "tab", 5)
+    parts = {
+        "train": sampling.one_per_group(sampling.first_tables(rows, "tab", 10), ["tab"], "ord"), "val": sampling.one_per_group(last, ["tab"], "ord", seed=7),
+        "eval": last.groupBy("tab").agg(F.max_by(F.struct("ord", "question", "output"), "ord").alias("r")).select("tab", "r.*"),
+    }
+    out = None
+    for name, part in parts.items():
+        c = sampling.shuffled(scoring.hard_negatives(text.question_candidates(F.col("question")), F.col("output"), 19), 42, F.col("ord"))
+        one = part.select(F.lit(name).alias("split"), "tab", "ord", F.md5(text.with_candidates(F.col("question"), c)).alias("digest"))
+        out = one if out is None else out.unionByName(one)
+    return out

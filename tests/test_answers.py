@@ -216,3 +216,29 @@ def test_extractors_of_blank_answers(spark):
     df = spark.createDataFrame([(None, ["<a>"]), ("  ", ["<a>"]), ("<think>x</think>", ["<a>", "", None])], "r string, c array<string>")
     r, c = F.col("r"), F.col("c")
     assert all(v == "" for row in df.select(X.candidate_entity(r, c), X.table_entity(r, c), X.plain_entity(r, c)).collect() for v in row)
+
+
+def test_waits_and_limit_errors(spark):
+    rows = [
+        ("x", {"retry-after-ms": "1500"}, 1.5), ("x", {"retry-after": "7"}, 7.0), ("x", {"retry-after": "soon", "x-ratelimit-reset": "1090"}, 90.0), ("x", {"ratelimit-reset": "30"}, 30.0),
+        ("Please try again in 2 minutes.", {}, 120.0), ("try again in 500ms", None, 0.5), ("limit resets in 1.5 h", {}, 5400.0), ("try again in 20s", {}, 20.0), ("no idea", {}, 600.0), ("try again in 3", {"retry-after": "-1"}, 3.0),
+    ]
+    df = spark.createDataFrame(rows, "m string, h map<string,string>, want double")
+    got = df.select(text.wait_seconds(F.col("m"), F.col("h"), F.lit(1000.0)).alias("w"), "want").collect()
+    assert [r["w"] for r in got] == [r["want"] for r in got]
+    errors = spark.createDataFrame([("Rate limit hit", 200), ("boom", 429), ("boom", None), (None, None), ("quota gone", None)], "m string, s int")
+    assert [r[0] for r in errors.select(text.is_limit_error(F.col("m"), F.col("s"))).collect()] == [True, True, False, False, True]
+
+
+def test_row_cells(spark):
+    rows = ["row 2: | a |  | b |", "row 3: alone", "row x: | a |", "Row 4 :|c|"]
+    df = spark.createDataFrame([(r,) for r in rows], "r string")
+    cells = lambda mode: [r[0] for r in df.select(tables.row_cells(F.col("r"), mode)).collect()]
+    assert cells("bars")[:2] == [["a", "b"], ["alone"]] and cells("strict") == [["a", "b"], [], ["a"], ["c"]] and cells("blanks")[:2] == [["a", "", "b"], ["alone"]]
+    assert [r[0] for r in df.select(tables.row_number_of(F.col("r"))).collect()] == [2, 3, None, 4]
+
+
+def test_prompt_templates(spark):
+    got = spark.range(1).select(*(text.task_prompt(F.lit("seg"), F.lit("q?"), t).alias(t) for t in ("plain", "hint", "rules"))).first()
+    assert all(got[t].startswith("### Instruction:\nentity linking task.") and got[t].endswith("### Response:") and "### Input:\nseg\n\n### Question:\nq?\n\n" in got[t] for t in ("plain", "hint", "rules"))
+    assert "same column" not in got["plain"] and "same column" in got["hint"] and "5) Reasoning is mandatory" in got["rules"]
