@@ -7,8 +7,8 @@ a text that a third of all rows share costs the state one row per task. Running
 new files goes on from the stored state.
 
 The state is then read back as a table and joined to the documents by digest. Rows whose digest was seen more than
-once are hits: their whole text is compared with the text of the row that stays. Texts that share a digest and differ
-(never seen with SHA-256, made to happen in the tests) are grouped by the text itself.
+once are hits: the locator and the identifier lead to the text that stays, and their whole texts are compared with it. Texts
+that share a digest and differ (never seen with SHA-256, made to happen in the tests) are grouped by the text itself.
 
 Equal means identical after lower-casing A-Z only; null text counts as empty. Rows may repeat: each counts, and every
 copy of the staying row is marked kept. A null id is smaller than any other; a group of null ids alone has a null
@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from cellweave.llm.scratch import cut, new_path
 
+_SALTED = 512  # rows of one text that meet it in a task
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -48,23 +49,21 @@ def _streamable(spark: SparkSession, path: str) -> str:
 
 def _stored(spark: SparkSession, path: str, id_col: str, text_col: str, digest, state_path: str) -> DataFrame:
     """Run the stream over the files at `path` until all are read; the state as (digest, keep_id, file, n)."""
-    given = spark.read.parquet(path).schema
+    # A session of its own, so that the caller's keeps its settings. Each partition's store would reserve megabytes of
+    # disk ahead of need, and upload snapshots where changes do.
+    own, rocks = spark.newSession(), "spark.sql.streaming.stateStore.rocksdb"
+    keys = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false", f"{rocks}.allowFAllocate": "false", f"{rocks}.changelogCheckpointing.enabled": "true"}
+    # All stores of an executor share one bounded cache, and buffers are small: a partition's state is a few megabytes.
+    keys |= {f"{rocks}.boundedMemoryUsage": "true", f"{rocks}.maxMemoryUsageMB": "96", f"{rocks}.writeBufferSizeMB": "4"}
+    for k, v in (keys | {"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}).items():
+        own.conf.set(k, v)
+    given = own.read.parquet(path).schema
     schema = T.StructType([f for f in given if f.name in (id_col, text_col)])
-    stream = spark.readStream.schema(schema).parquet(_streamable(spark, path))
+    stream = own.readStream.schema(schema).parquet(_streamable(own, path))
     seen = stream.select(digest(normalised(F.col(text_col))).alias("digest"), F.struct(F.col(id_col).alias("id"), F.col("_metadata.file_path").alias("file")).alias("at"))
     state = seen.groupBy("digest").agg(F.max("at").alias("at"), F.count(F.lit(1)).alias("n"))
-    # Each partition's store would reserve megabytes of disk ahead of need, and upload snapshots where changes do.
-    rocks = "spark.sql.streaming.stateStore.rocksdb"
-    keys = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false", f"{rocks}.allowFAllocate": "false", f"{rocks}.changelogCheckpointing.enabled": "true"}
-    before = {k: spark.conf.get(k, None) for k in keys}
-    try:
-        for k, v in keys.items():
-            spark.conf.set(k, v)
-        query = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", state_path).trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    query = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", state_path).trigger(availableNow=True).start()
+    query.awaitTermination()
     return spark.read.format("statestore").load(state_path)
 
 
@@ -78,14 +77,20 @@ def dedup_files(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     state = state.select("digest", F.col("at.id").alias("keep_id"), F.col("at.file").alias("keep_file"), "n")
 
     text = normalised(F.col(text_col))
-    docs = spark.read.parquet(path).select(F.col(id_col).alias("id"), text.alias("text")).withColumn("digest", digest(F.col("text")))
+    docs = spark.read.parquet(path).select(F.col(id_col).alias("id"), F.col("_metadata.file_path").alias("file"), text.alias("text")).withColumn("digest", digest(F.col("text")))
     seen = docs.join(state, "digest")
     alone = F.col("n") == 1
     # One pass shuffles the texts; what is kept of it are keys, and the texts of hits.
-    seen = cut(seen.select("id", "digest", "keep_id", "keep_file", "n", F.sha2("text", 256).alias("text_sha256"), F.when(~alone, F.col("text")).alias("text")), "dedup-hits")
+    seen = cut(seen.select("id", "file", "digest", "keep_id", "keep_file", "n", F.sha2("text", 256).alias("text_sha256"), F.when(~alone, F.col("text")).alias("text")), "dedup-hits")
     hits = seen.where(~alone)
-    stays = hits.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.max("text").alias("keep_text"))
-    checked = hits.join(stays, "digest").withColumn("same", F.col("text") == F.col("keep_text"))
+    # The locator leads to the text that stays. It is written once, and meets its hits split over as many tasks as
+    # they fill: _SALTED rows of a group go to each.
+    located = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("file") == F.col("keep_file"))
+    parts = F.ceil(F.col("n") / _SALTED).cast("int")
+    stays = cut(hits.where(located).groupBy("digest", "n").agg(F.max("text").alias("keep_text")), "dedup-stays")
+    stays = stays.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    salted = hits.withColumn("salt", F.pmod(F.monotonically_increasing_id(), parts).cast("int"))
+    checked = salted.join(stays, ["digest", "salt"]).withColumn("same", F.col("text") == F.col("keep_text"))
     checked = cut(checked.select("id", "digest", "keep_id", "keep_file", "n", "text_sha256", F.when(~F.col("same"), F.col("text")).alias("other")), "dedup-checked")
 
     # Texts behind a shared digest that differ: groups of their own, and fewer rows in the group that they left.
@@ -101,7 +106,7 @@ def dedup_files(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
             "id", "digest", F.when(moved, F.col("own_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(~moved, F.col("keep_file")).alias("keep_file"),
             F.when(moved, F.col("own_n")).otherwise(F.col("n") - F.coalesce("gone", F.lit(0))).alias("n"), "text_sha256",
         )
-    out = seen.where(alone).drop("text").unionByName(hits)
+    out = seen.where(alone).drop("text", "file").unionByName(hits)
     return out.select(F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "keep_file")
 
 
