@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from cellweave.llm.scratch import cut
 
 _BROADCAST_TEXTS = 200_000  # candidate texts whose hashes go to all tasks; more are joined by a shuffle
+_BLOCK = 256  # matches of a text placed together
 _EXACT = 64  # strings that a part of a regex may stand for before it counts as open
 
 
@@ -149,26 +150,46 @@ def _length(x: Column) -> Column:
     return F.char_length(x)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _spans(text: Column, rule: Rule, place: int, active: Column) -> Column:
-    """array<struct<start, place, kind, end, base>> of one rule. Gaps between matches, found by splitting, and the
-    matches' own lengths add up to positions."""
+    """array<struct<start, place, end, kind, base>> of one rule. Gaps between matches, found by splitting, and the
+    matches' own lengths add up to positions: within blocks of _BLOCK matches, and over the blocks by their totals, so
+    that no array grows element by element for longer than a block."""
     regex = F.lit(rule.regex)
     none = F.array().cast("array<string>")
     found = F.when(active, F.regexp_extract_all(text, regex, F.lit(0))).otherwise(none)
     checked = F.when(active, F.regexp_extract_all(text, regex, F.lit(rule.group))).otherwise(none) if rule.least else found
-    gaps = F.when(F.size(found) > 0, F.split(text, rule.regex, -1)).otherwise(none)
-    steps = F.arrays_zip(found.alias("m"), checked.alias("c"), F.slice(gaps, 1, F.greatest(F.size(found), F.lit(0))).alias("g"))
     item = "struct<start:int,place:int,end:int,kind:string,base:boolean>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{item}>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + _length(x["g"])
-        end = start + _length(x["m"])
-        span = F.array(F.struct(start.alias("start"), F.lit(place).alias("place"), end.alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.base).alias("base")))
-        keep = _length(x["c"]) >= rule.least
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def steps(found: Column) -> Column:
+        gaps = F.when(F.size(found) > 0, F.split(text, rule.regex, -1)).otherwise(none)
+        kept = F.transform(checked, lambda c: _length(c) >= rule.least)
+        return F.arrays_zip(F.transform(found, _length).alias("m"), kept.alias("keep"), F.transform(F.slice(gaps, 1, F.size(found)), _length).alias("g"))
+
+    def blocks(steps: Column) -> Column:
+        last = F.floor((F.size(steps) - 1) / _BLOCK).cast("int")
+        return F.when(F.size(steps) > 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda b: F.slice(steps, b * _BLOCK + 1, _BLOCK)))
+
+    def bases(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda acc, x: acc + x["g"] + x["m"]))
+        return F.aggregate(totals, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+    def placed(block: Column, base: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["g"]
+            end = start + x["m"]
+            span = F.array(F.struct(start.alias("start"), F.lit(place).alias("place"), end.alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.base).alias("base")))
+            return F.struct(end.alias("at"), F.when(x["keep"], F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(block, F.struct(base.alias("at"), F.array().cast(f"array<{item}>").alias("out")), step, lambda acc: acc["out"])
 
-    return F.aggregate(steps, begin, step, lambda acc: acc["out"])
+    whole = lambda parts: F.flatten(F.zip_with(parts, F.slice(bases(parts), 1, F.size(parts)), placed))
+    spans = _let(found, lambda m: _let(steps(m), lambda s: _let(blocks(s), whole)))
+    return F.coalesce(spans, F.array().cast(f"array<{item}>"))
 
 
 def scan(df: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
