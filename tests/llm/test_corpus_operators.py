@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -60,6 +61,38 @@ def test_exact_dedup_odd_rows(spark):
     assert exact_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
+    """A second run over a folder with new files starts from the stored state and gives what one run over all would."""
+    rows = rows_of(["a", "b", "A", "c", "b", "d", None, ""] * 3)
+    path, state = str(tmp_path / "in"), str(tmp_path / "state")
+    frame = lambda part: spark.createDataFrame(part, DOCS + ", digest string, keep_id long, n long, salt int")
+    clash = [(*r, "x", 1, 2, 3) for r in rows]
+    frame(clash[:10]).write.parquet(path)
+    first = {r["doc_id"]: r["group_size"] for r in exact_dedup.dedup_files(spark, path, state_path=state).collect()}
+    assert first[0] == sum(lower(t) == "a" for _, t, *_ in rows[:10])
+    frame(clash[10:]).write.mode("append").parquet(path)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    both = [sorted(map(tuple, exact_dedup.dedup_files(spark, path, state_path=s).drop("keep_file").collect())) for s in (state, None)]
+    assert both[0] == both[1] and len(both[0]) == len(rows) and spark.conf.get(key) == before
+
+
+def test_exact_dedup_of_a_large_group(spark):
+    """A group of more rows than one task takes meets its text in several, each row once."""
+    df = spark.createDataFrame([(i, "same text" if i % 3 else f"own {i}") for i in range(3000)], "doc_id long, text string")
+    got = exact_dedup.dedup(df).groupBy("group_size", "kept").count().collect()
+    assert {(r["group_size"], r["kept"]): r["count"] for r in got} == {(2000, False): 1999, (2000, True): 1, (1, True): 1000}
+
+
+def test_vectors_at_the_threshold_and_of_one_id(spark):
+    """A cosine of the threshold itself links; rows of one id are one vector and don't link with each other."""
+    rows = [(1, [1.0, 0.0], 0), (2, [3.0, 4.0], 0), (3, [6.0, 8.0], 0), (3, [6.0, 8.0], 0), (4, [0.0, 1.0], 0)]
+    got = vector_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), cosine=0.6, recall=1.0).collect()
+    assert {(r["vec_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 1)} and len(got) == 5
+    one = {r["vec_id"]: r["n_links"] for r in got}
+    assert one[1] >= 2 and one[4] >= 2
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)] + [(500, x) for x in range(501, 560)]
@@ -109,15 +142,39 @@ def test_ngram_join_odd_rows(spark):
     assert ngram_join.join_documents(df.limit(0)).count() == 0
 
 
+def test_words_of_like_letters_are_apart(spark):
+    """Long words that a polynomial hash of bytes modulo 2 ** 64 can't tell apart (Thue-Morse) share no link."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, f"{word} {other}"), (4, f"{other} {word}"), (5, word.upper())]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_ngram_join_large_groups(spark):
+    """Many near copies of one text, exact copies by the hundred, and texts that share a passage only."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    base, passage = rng.choices(words, k=200), rng.choices(words, k=60)
+    texts = [" ".join(base[:i] + ["x%d" % i] + base[i + 1 :]) for i in range(150)] + [" ".join(base)] * 200
+    texts += [" ".join(rng.choices(words, k=120) + passage) for _ in range(100)]
+    df = spark.createDataFrame([(*r, "u", "v", "w", "x") for r in rows_of(texts)], DOCS + ", id string, fp string, c string, sig string").repartition(7)
+    sets, g = plain_join(texts, 3, 90)
+    got = {r["doc_id"]: r for r in ngram_join.join_documents(df, 3, 90).collect()}
+    assert all(got[i]["component_id"] == g.find(i) and got[i]["n_shingles"] == len(s) for i, s in enumerate(sets))
+
+
 def test_signatures_of_linked_sets_meet():
     rng = np.random.default_rng(0)
     for percent in (70, 80, 90):
-        levels = ngram_join._levels(percent)
+        levels = ngram_join._levels()
         for _ in range(1500):
-            n = int(rng.integers(1, 60))
+            n = int(rng.integers(1, 60 if rng.random() < 0.8 else 400))
             a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
             b = set(a.tolist())
-            for _ in range(int(rng.integers(0, 8))):
+            for _ in range(int(rng.integers(0, max(8, n // 4)))):
                 if rng.random() < 0.5 and len(b) > 1:
                     b.discard(sorted(b)[int(rng.integers(0, len(b)))])
                 else:
@@ -137,7 +194,29 @@ def test_packing_plan():
         for length, side, first in zip(runs["length"].tolist(), runs["side"].tolist(), runs["first"].tolist(), strict=True):
             used[length] = max(used[length], first)
         total = sum(k * v for k, v in counts.items())
-        assert math.ceil(total / 2048) <= n <= max(1.12 * total / 2048 + 2, n if max(counts, default=0) > 1024 or 700 in counts else 0)
+        # No packing needs fewer sequences than the tokens fill, or than there are pieces longer than a half.
+        least = max(math.ceil(total / 2048), sum(k for x, k in counts.items() if x > 1024), math.ceil(sum(k for x, k in counts.items() if x >= 683) / 2))
+        assert least <= n <= 1.12 * least + 2
+
+
+def test_sums_index_lists_all_combinations():
+    rng = random.Random(2)
+    for _ in range(60):
+        n = np.zeros(41, np.int64)
+        for x in rng.sample(range(1, 41), rng.randint(1, 25)):
+            n[x] = rng.randint(1, 3)
+        index = packing.Sums(n, 40)
+        for _ in range(12):
+            have = [x for x in range(1, 41) for _ in range(min(n[x], 3))]
+            for s in range(1, 41):
+                pairs = {(a, b) for a, b in itertools.combinations(sorted(have, reverse=True), 2) if a + b == s}
+                assert {tuple(p) for p in index.two(s)} == pairs and (index.one(s) == [[s]]) == (s in have)
+                triples = {t for t in itertools.combinations(sorted(have, reverse=True), 3) if sum(t) == s}
+                assert triples <= {tuple(t) for t in index.three(s)}
+            if not have:
+                break
+            x = rng.choice(have)
+            index.take(x, rng.randint(1, int(n[x])))
 
 
 def check_packed(rows, ids_of, capacity):

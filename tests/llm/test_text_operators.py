@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -16,6 +18,9 @@ from tokenizers import Tokenizer
 from cellweave.llm import bpe_automaton, language_id, license_scan, pii, secrets_scan, tokens
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
+MERGE_LIST = json.loads(Path(VOCAB).read_text())["model"]["merges"]
+_BYTE = bpe_automaton.byte_alphabet()
+RANKS = {tuple(bytes(_BYTE[c] for c in x) for x in (m if isinstance(m, list) else m.split(" "))): i for i, m in enumerate(MERGE_LIST)}
 DOCS = "doc_id long, text string, lang string, n_tokens string, score double, spans string, part string"
 
 
@@ -26,7 +31,7 @@ def library():
 
 @pytest.fixture(scope="module")
 def automaton():
-    return bpe_automaton.load(VOCAB)
+    return AUTOMATON
 
 
 def rows_of(texts, start=0):
@@ -36,15 +41,41 @@ def rows_of(texts, start=0):
 ODD = ["", None, " ", "\n\n", "a" * 30_000, " a  b\n\n c \t d ", "<|endoftext|>", "x<|endoftext|> y<|endoftext|>", "don't we'll", "日本語 １２ ½ é é \U0001f600‍", "end  ", "same", "same"]
 
 
+LIBRARY, AUTOMATON, MERGES = Tokenizer.from_file(VOCAB), bpe_automaton.Tokenizer(VOCAB), bpe_automaton.Tokenizer(VOCAB, "merges")
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.sampled_from(list("ab tThe'sl\n\r\t .,!1２é中😀　 \x85\x1c-<|>")) | st.characters(exclude_categories=["Cs"]), max_size=40))
+@given(st.text(st.sampled_from(list("ab tThe'sl\n\r\t .,!1２é中😀　 \x85\x1c-<|>")) | st.characters(exclude_categories=["Cs"]), max_size=40))
 def test_automaton_equals_library(text):
-    library, automaton = Tokenizer.from_file(VOCAB) if not hasattr(test_automaton_equals_library, "lib") else test_automaton_equals_library.lib, bpe_automaton.load(VOCAB)
-    test_automaton_equals_library.lib = library
-    ids = library.encode(text, add_special_tokens=False).ids
-    assert automaton.encode(text) == ids
-    assert bpe_automaton.load(VOCAB, "merges").encode(text) == ids
-    assert automaton.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    ids = LIBRARY.encode(text, add_special_tokens=False).ids
+    assert AUTOMATON.encode(text) == ids and MERGES.encode(text) == ids
+    assert AUTOMATON.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.binary(max_size=60) | st.lists(st.integers(0, 50_255), min_size=2, max_size=4))
+def test_table_has_one_path_and_it_is_the_merged_one(word):
+    """Merge by rank, plainly, and hold the compiled states and arcs against it: the merged sequence is a path of the
+    table, path() finds it, and no other cut of the word into tokens is one."""
+    machine = AUTOMATON.automaton
+    if isinstance(word, list):  # tokens set side by side, which merging may cut elsewhere
+        word = b"".join(machine.labels[i] for i in word)
+    word = word[:60]
+    parts = [bytes([b]) for b in word]
+    while found := [(RANKS[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in RANKS]:
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    assert [machine.labels[i] for i in machine.path(word)] == parts
+    assert all(machine.has_arc(a, t) for a, t in zip([None, *parts], parts))
+    ways = {0: {None: 1}}  # position -> last token -> accepted ways to get there
+    for end in range(1, len(word) + 1):
+        ways[end] = {}
+        for start in range(end):
+            t = word[start:end]
+            n = sum(k for a, k in ways[start].items() if machine.has_arc(a, t)) if t in machine.leads else 0
+            if n:
+                ways[end][t] = n
+        assert sum(ways[end].values()) == 1
 
 
 def test_automaton_paths_of_random_ids(library, automaton):
@@ -179,6 +210,48 @@ def test_license_scan(spark):
     assert license_scan.scan(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_license_bands_decide(spark):
+    """Without the wide bands the longer templates aren't retrieved, however much of them a text holds."""
+    texts = ["some words before " + license_scan.TEMPLATES["mit-text"] + " and after", license_scan.TEMPLATES["mit"]]
+    df = spark.createDataFrame(rows_of(texts), DOCS)
+    few, all_ = ({r["license"] for r in license_scan.retrieve(df, bands=b).collect()} for b in (1, license_scan.BANDS))
+    assert {"mit-text", "mit-grant", "mit"} <= all_ and "mit" in few and "mit-text" in all_ - (few - {"mit-text"})
+    assert not {r["license"] for r in license_scan.scan(df, {"x": license_scan.TEMPLATES["gpl-header"]}).collect()}
+
+
+def test_license_bands_miss_little():
+    """Bands over random windows of 16 shingles that hold a unit of 8 whole, or all but one of it."""
+    rng, corners = np.random.default_rng(3), np.array(license_scan.seeds(license_scan.BANDS), np.int64)
+    least = lambda x: (x[:, :, None] ^ corners).min(axis=1)
+    for common, bound in ((8, 1e-4), (7, 1.5e-3)):
+        missed, n = 0, 0
+        for _ in range(20):
+            window = rng.integers(-(1 << 63), (1 << 63) - 1, (5000, 16), dtype=np.int64)
+            unit = np.concatenate([window[:, :common], rng.integers(-(1 << 63), (1 << 63) - 1, (5000, 8 - common), dtype=np.int64)], axis=1)
+            missed += int((~(least(window) == least(unit)).any(axis=1)).sum())
+            n += 5000
+        print(common, missed / n)
+        assert missed / n < bound
+
+
+def test_license_first_words(spark):
+    both = f"x {license_scan.TEMPLATES['mit']} and {license_scan.TEMPLATES['unlicense']}"
+    got = {r["license"]: r["first_word"] for r in license_scan.scan(spark.createDataFrame(rows_of([both]), DOCS)).collect()}
+    assert got["mit"] == 1 and got["unlicense"] == 7
+
+
+def test_many_matches_in_one_text(spark):
+    """100,000 matches in a text take no longer than their number."""
+    n = 100_000
+    hexes, mails = "deadbeefdeadbeef " * n, "a@b.co " * n
+    df = spark.createDataFrame([(1, hexes)], "doc_id long, text string")
+    [r] = secrets_scan.scan(df).collect()
+    assert r["n_hex"] == n and r["spans"].endswith(f"hex:{17 * (n - 1)}:{17 * n - 1}")
+    assert r["base_sha256"] == hashlib.sha256(",".join(f"hex:{17 * i}:{17 * i + 16}" for i in range(n)).encode()).hexdigest()
+    found = pii.spans(mails + "jane (at) mail (dot) org " * 1000)
+    assert sum(s[3] for s in found) == n and len(found) == n + 1000
+
+
 def test_language_id(spark):
     rng = random.Random(2)
     words = {"en": "the and of that was with from they".split(), "de": "der und nicht mit ein ich schön größe".split()}
@@ -192,6 +265,19 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.predict(df, none).collect()} == {"und"}
 
 
+def test_long_words_teach_whole():
+    """Without a cut or an underflow: the expected counts of a long word cover each of its characters once."""
+    rows = {"a": 0.2, "b": 0.1, "ab": 0.05, "▁": 0.01, "▁a": 0.02}
+    short, long = (language_id._expected({w: 2}, rows, 1e-6, 2) for w in ("ab" * 12, "ab" * 13))
+    assert all(abs(sum(len(p) * n for p, n in got.items()) - 2 * (1 + k)) < 1e-3 for got, k in ((short, 24), (long, 26)))
+    assert abs(language_id._expected({"q" * 5000: 1}, rows, 1e-9, 2)["q"] - 5000) < 1e-3
+    plain = language_id._expected({"ab" * 12: 1}, rows, 1e-6, 2)
+    scaled: dict = language_id.defaultdict(float)
+    language_id._expected_long("▁" + "ab" * 12, 1, rows, 1e-6, 2, scaled)
+    assert plain.keys() == scaled.keys() and all(abs(plain[k] - scaled[k]) < 1e-9 for k in plain)
+    assert language_id.learn({"x": {"q" * 150: 1}, "y": {"w" * 150: 1}}, ["q", "w"]).rows["q"].argmax() == 0
+
+
 def test_forward_sums_all_segmentations():
     model = language_id.learn({"x": {"abab": 3, "ba": 1}}, ["a", "b", "ab", "▁a", "▁ab"])
     p = {k: float(v[0]) for k, v in model.rows.items()}
