@@ -23,16 +23,18 @@ def exact(mentions: DataFrame, aliases: DataFrame, limit: int = 80) -> DataFrame
 
 
 def prefix(mentions: DataFrame, aliases: DataFrame, limit: int = 80, key_chars: int = 3) -> DataFrame:
-    """Labels that start with a mention. The first characters make it an equi-join; shorter mentions are matched on
-    all their characters."""
-    found = None
-    asked = mentions.select("mention_norm").distinct()
+    """Labels that start with a mention, `limit` per distinct mention in the index's order.
+
+    A mention of up to key_chars characters is equal to the prefix of its hits: of each such prefix `limit` labels are kept
+    first, so a short mention never meets all labels that begin like it. Longer ones meet by their first characters."""
+    asked = mentions.select("mention_norm").where(F.col("mention_norm") != "").distinct()
+    size = F.length("mention_norm")
+    own = lambda n: aliases.where(F.length("alias_norm") >= n).select(F.substring("alias_norm", 1, n).alias("__k"), "qid", "ord")
+    found = asked.where(size > key_chars).withColumn("__k", F.substring("mention_norm", 1, key_chars)).join(aliases.withColumn("__k", F.substring("alias_norm", 1, key_chars)), "__k")
+    found = found.where(F.startswith("alias_norm", F.col("mention_norm"))).select("mention_norm", "qid", "ord")
     for n in range(1, key_chars + 1):
-        size = F.length("mention_norm")
-        own = asked.where(size >= n if n == key_chars else size == n).withColumn("__k", F.substring("mention_norm", 1, n))
-        keyed = aliases.withColumn("__k", F.substring("alias_norm", 1, n))
-        hits = own.join(keyed, "__k").where(F.startswith("alias_norm", F.col("mention_norm"))).drop("__k")
-        found = hits if found is None else found.unionByName(hits)
+        firsts = top(own(n), ["__k"], [F.col("ord"), F.col("qid")], limit).drop("rank")
+        found = found.unionByName(asked.where(size == n).join(firsts, F.col("mention_norm") == F.col("__k")).select("mention_norm", "qid", "ord"))
     return top(found, ["mention_norm"], [F.col("ord"), F.col("qid")], limit).select("mention_norm", "qid", "rank")
 
 
