@@ -121,16 +121,11 @@ def _meet(table: pa.Table, cosine: float, schema_names: list[str], id_type: pa.D
     x = _units(table.column("vec").to_pylist())
     ids = np.array(table.column("id").to_pylist(), dtype=object)
     t, q = np.flatnonzero(indexed), np.flatnonzero(~indexed)
-    counts, parent = np.zeros(len(x), np.int64), list(range(len(x)))
+    counts = np.zeros(len(x), np.int64)
+    # A vector that is both indexed and a query is one node; a group is the smallest place among its nodes.
     by_id: dict = {}
-    for i, name in enumerate(ids):  # a vector that is both indexed and a query is one node
-        parent[i] = by_id.setdefault(name, i)
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+    node = np.array([by_id.setdefault(name, len(by_id)) for name in ids], np.int64)
+    group = np.arange(len(x))
 
     visits = [set(v) if v is not None else None for v in table.column("visits").to_pylist()]
     homes, home_code = np.unique(home, return_inverse=True)
@@ -145,24 +140,20 @@ def _meet(table: pa.Table, cosine: float, schema_names: list[str], id_type: pa.D
         once = near & ~visited[:, home_code[block]].T
         counts[t] += once.sum(0)
         for row, i in enumerate(block):
-            others = np.flatnonzero(near[row])
-            if len(others):
-                r = find(i)
-                for j in t[others]:
-                    s = find(j)
-                    if s != r:
-                        parent[s] = r
+            if near[row].any():
+                met = np.unique(np.append(group[node[t[near[row]]]], group[node[i]]))
+                if len(met) > 1:  # in a group that is known as one, nothing is left to join
+                    group[np.isin(group, met[1:])] = met[0]
     linked = np.flatnonzero(counts)
     # Vectors with no credit here may still be part of a group: an indexed one whose link is credited elsewhere.
-    members = defaultdict(list)
-    for i in range(len(x)):
-        members[find(i)].append(i)
+    own = group[node]
+    by_group = np.argsort(own, kind="stable")
+    starts = np.flatnonzero(np.append(True, np.diff(own[by_group]) != 0)) if len(own) else []
     group = {}
-    for root, own in members.items():
-        names = {ids[i] for i in own}
+    for members in np.split(by_group, starts[1:]) if len(own) else ():
+        names = set(ids[members].tolist())
         if len(names) > 1:
-            least = min(names)
-            group |= {i: least for i in own}
+            group |= dict.fromkeys(members.tolist(), min(names))
     rows = [(ids[i], int(counts[i]), group.get(i)) for i in sorted({*linked.tolist(), *group})]
     cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
     return pa.table([pa.array(cols[0], id_type), pa.array(cols[1], pa.int64()), pa.array(cols[2], id_type)], names=schema_names)
