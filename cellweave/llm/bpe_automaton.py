@@ -34,7 +34,7 @@ from cellweave.llm import worker
 # Fixed value: the public split pattern of byte-level BPE vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_CACHE_BYTES = {"automaton": 64_000_000, "merges": 24_000_000}  # of pieces kept in each of two generations
+_CACHE_BYTES = 64_000_000  # of pieces kept in each of two generations
 _ENTRY_BYTES = 220  # an entry's share of its dict and the heads of its objects
 _LONG_CHUNK = 256  # longer chunks are encoded without being kept
 
@@ -213,11 +213,11 @@ class Tokenizer:
             self._compiled = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=vocab, special_tokens={}).encode_ordinary
         # One of the two is made, as a worker needs no more.
         self.automaton = None if self._compiled else Automaton(vocab, merges)
-        self._word_ids = _Chunks(self._word, _CACHE_BYTES[engine] // 4)
-        self._piece_ids = _Chunks(self._piece, _CACHE_BYTES[engine])
+        self._word_ids = _Chunks(self._word, _CACHE_BYTES // 4)
+        self._piece_ids = _Chunks(self._piece, _CACHE_BYTES)
 
     def _word(self, word: str) -> bytes:
-        return array("I", self._compiled(word) if self._compiled else self.automaton.path(word.encode())).tobytes()
+        return array("I", self.automaton.path(word.encode())).tobytes()
 
     def _words(self, text: str) -> bytes:
         return b"".join(map(self._word_ids.__getitem__, self._split(text)))
@@ -226,11 +226,11 @@ class Tokenizer:
         """Ids of a piece with the space before it; None if a white-space run may cross its edges."""
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
-        if self._compiled:
-            return array("I", self._compiled(" " + piece)).tobytes()
         return b"".join(map(self._word, self._split(" " + piece)))
 
     def _plain(self, text: str) -> bytes:
+        if self._compiled:  # sooner on a whole text than what looking its pieces up would take
+            return array("I", self._compiled(text)).tobytes()
         first, *rest = text.split(" ")
         if not rest or not first or first[-1].isspace() or not rest[-1] or rest[-1][0].isspace():
             return self._words(text)
