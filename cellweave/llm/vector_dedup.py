@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,8 +109,13 @@ class Index:
         return own_a * far_b.shape[1] + own_b, visits
 
 
-def _units(rows: list) -> np.ndarray:
-    x = np.array(rows, np.float64)
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length, none null, as rows, without a Python object per number."""
+    arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return arr.flatten().to_numpy(zero_copy_only=False).reshape(len(arr), -1)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -118,7 +124,7 @@ def _meet(table: pa.Table, cosine: float, schema_names: list[str], id_type: pa.D
     """Links between the queries and the indexed vectors of one block."""
     indexed = table.column("indexed").to_numpy(zero_copy_only=False).astype(bool)
     home = table.column("home").to_numpy()
-    x = _units(table.column("vec").to_pylist())
+    x = _units(_matrix(table.column("vec")))
     ids = np.array(table.column("id").to_pylist(), dtype=object)
     t, q = np.flatnonzero(indexed), np.flatnonzero(~indexed)
     counts = np.zeros(len(x), np.int64)
@@ -173,20 +179,20 @@ def link(df: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vec_col: s
     by_length = defaultdict(list)
     for v in taken:
         by_length[len(v)].append(v)
-    indexes = {size: Index(_units(own), max(1, min(int((n / _CELL_ROWS) ** 0.5), len(own) // 16)), cosine, recall) for size, own in by_length.items()}
+    indexes = {size: Index(_units(np.array(own, np.float64)), max(1, min(int((n / _CELL_ROWS) ** 0.5), len(own) // 16)), cosine, recall) for size, own in by_length.items()}
     sent = spark.sparkContext.broadcast(indexes)
 
     placed = T.StructType([T.StructField("id", id_type), T.StructField("label", T.StringType()), T.StructField("size", T.IntegerType()), T.StructField("home", T.LongType()), T.StructField("visits", T.ArrayType(T.LongType())), T.StructField("vec", T.ArrayType(T.DoubleType()))])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column("vec").to_pylist()
+            vectors = batch.column("vec")
             home, visits = [0] * len(vectors), [[0]] * len(vectors)
-            lengths = np.array([len(v) for v in vectors])
+            lengths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
             for size in np.unique(lengths).tolist():
                 if size in sent.value:  # a length that the sample lacks has one cell
                     at = np.flatnonzero(lengths == size)
-                    h, v = sent.value[size].cells(_units([vectors[i] for i in at]))
+                    h, v = sent.value[size].cells(_units(_matrix(vectors.take(pa.array(at)))))
                     for i, own, seen in zip(at, h.tolist(), v, strict=True):
                         home[i], visits[i] = own, seen
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(lengths, pa.int32()), pa.array(home, pa.int64()), pa.array(visits, pa.list_(pa.int64())), batch.column("vec")], names=placed.names)
