@@ -6,9 +6,9 @@ stands in a text some window holds it whole, so that window and unit have a Jacc
 band's MinHash is the shingle closest to the band's own corner of the hash space (its hash with the band's seed laid over
 it is the smallest); the 16 corners are evenly spread, so the bands choose nearly without repetition, which misses less
 than independent functions would. A test simulates it: of 100,000 unchanged units, half of a window's 16 shingles,
-none was missed (independent bands: 0.5 ** 16), of those that lost a shingle about one in 9,000. Of a
-template of which the share `contained` = 0.8 is left some unit has lost one shingle at most, and a template of several units
-is missed only if all its units are. A template of fewer than UNIT shingles has them singly as its units, and meets
+none was missed (independent bands: 0.5 ** 16), of those that lost one shingle about one in 9,000, of those that lost two
+about one in 900. Of a template of which the share `contained` = 0.8 is left some unit has lost two shingles at most (one,
+where its units don't overlap), and a template of several units is missed only if all its units are. A template of fewer than UNIT shingles has them singly as its units, and meets
 windows of one shingle, with a similarity of one, in a single band.
 
 The bands of all windows are looked up; what they don't retrieve isn't reported (a test takes bands away and loses
