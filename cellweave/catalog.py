@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from cellweave.plans import answers, candidates, corpora, evaluation, linking, merges, reasoning, samples
+from cellweave.plans import answers, candidates, corpora, evaluation, linking, merges, parts, reasoning, samples
 from cellweave.plans.registry import REGISTRY
 
 FLAGSHIP = candidates.FLAGSHIP
-_MODULES = (answers, linking, candidates, corpora, evaluation, merges, reasoning, samples)
+_MODULES = (answers, linking, parts, candidates, corpora, evaluation, merges, reasoning, samples)
 
 
 def queries() -> dict:
