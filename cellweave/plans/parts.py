@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import reasoning as R
 from cellweave.functions import text
-from cellweave.operators import knowledge, merging, metrics, pairs, quality, retrieval
+from cellweave.operators import knowledge, merging, metrics, pairs, retrieval
 from cellweave.plans.answers import _NAMES, cases, named
 from cellweave.plans.candidates import _NORM
 from cellweave.plans.merges import conversation_pairs
-from cellweave.plans.reasoning import _THOUGHTS, thoughts
 from cellweave.plans.registry import query, table
 
 
@@ -52,13 +51,6 @@ def t18_answer_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"WITH {_THOUGHTS} SELECT 'hard' AS mode, tag, count(*) AS n FROM t WHERE tag <> 'hard_drop' GROUP BY 2 UNION ALL SELECT 'all', tag, count(*) FROM t WHERE tag = 'keep' GROUP BY 2")
-def p12_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = quality.low_info(thoughts(spark, sf_dir), "output").select("tag")
-    n = lambda mode: quality.kept(d, mode).groupBy("tag").agg(F.count(F.lit(1)).alias("n")).select(F.lit(mode).alias("mode"), "tag", "n")
-    return n("hard").unionByName(n("all"))
-
-
 @query(f"""WITH v AS (SELECT 'Q' || (event_id % 50) AS qid, event_id AS ord, event_type AS label, 'name ' || (event_id % 70) AS alias FROM events), l AS (SELECT qid, arg_max(label, ord) AS label FROM v GROUP BY 1),
 a AS (SELECT DISTINCT qid, {_NORM.format("label")} AS alias_norm, 'label' AS source FROM v UNION SELECT DISTINCT qid, {_NORM.format("alias")}, 'alias' FROM v), n AS (SELECT qid, count(*) AS n_aliases FROM a GROUP BY 1) SELECT qid, label, n_aliases FROM l JOIN n USING (qid)""")
 def k6_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
