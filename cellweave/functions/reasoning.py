@@ -142,30 +142,47 @@ def marker_form(x: Column) -> Column:
 
 def answer_form(x: Column) -> Column:
     """Canonical answer: the last entity after the reasoning if there is one, else the fullest <...> shape, with one
-    spelling of markers, no quotes round the name, in one pair of angle brackets; empty if nothing is left."""
+    spelling of markers, no quotes round the name, in one pair of angle brackets; empty if nothing is left.
+
+    Whole texts are answers too, so a pattern runs only where plain searches say that it can match, and once white space is
+    collapsed (blanks alone are left, markers have one spelling) plain searches do the rest."""
+    has = lambda x, *parts: reduce(lambda a, b: a | b, (F.contains(x, F.lit(p)) for p in parts))
+    once = lambda x, p: let(F.regexp_extract(x, p, 0), lambda found: F.nullif(found, F.lit("")))
+
+    def edges(x: Column) -> Column:
+        return F.when(F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1))).rlike(WS), strip(x)).otherwise(x)
+
     def late(x: Column) -> Column:
         post = F.regexp_extract(x, r"(?is)^.*</think>(.*)$", 1)
         found = F.regexp_extract_all(post, F.lit(r"(?s)<[^<>]+>"), F.lit(0))
-        return F.when(x.rlike(r"(?i)</think>"), F.coalesce(let(found, lambda f: F.get(f, F.size(f) - 1)), x)).otherwise(x)
+        return F.when(has(x, "</") & x.rlike(r"(?i)</think>"), F.coalesce(let(found, lambda f: F.get(f, F.size(f) - 1)), x)).otherwise(x)
 
     def markers(x: Column) -> Column:
         x = F.regexp_replace(x, r"(?i)\[\s*(?:description|desc)\s*\]", "[DESC]")
-        return collapse(F.regexp_replace(x, r"(?i)\[\s*type\s*\]", "[TYPE]"))
+        return F.regexp_replace(x, r"(?i)\[\s*type\s*\]", "[TYPE]")
+
+    # A single blank stays as it is; other runs of white space become one.
+    white = WS.removeprefix("(?U)")
+    single = lambda x: F.regexp_replace(x, rf"(?U)[\s\x1c-\x1f&&[^ ]]{white}*+| {white}++", " ")
 
     def shaped(x: Column) -> Column:
-        shapes = [r"(?is)<\s*[^<>]+?\s*\[DESC\]\s*[^<>]+?\s*\[TYPE\]\s*[^<>]+?>", r"(?is)<\s*[^<>]+?\s*\[DESC\]\s*[^<>]+?>", r"(?is)<\s*[^<>]+?>"]
-        found = F.coalesce(*(F.nullif(F.regexp_extract(x, p, 0), F.lit("")) for p in shapes))
-        return F.coalesce(found, F.when(F.contains(x, F.lit("<")), F.regexp_extract(x, r"(?s)(<.*)$", 1)).otherwise(x))
+        full = F.when(has(x, "[DESC]"), F.coalesce(F.when(has(x, "[TYPE]"), once(x, r"<[^<>]+\[DESC\][^<>]+\[TYPE\][^<>]+>")), once(x, r"<[^<>]+\[DESC\][^<>]+>")))
+        return F.when(has(x, "<"), F.coalesce(full, once(x, r"<[^<>]+>"), F.substr(x, F.instr(x, F.lit("<"))))).otherwise(x)
 
     def wrapped(core: Column) -> Column:
-        tail = F.regexp_extract(core, r"(?is)^.*?(\[(?:DESC|DESCRIPTION|TYPE)\].*)$", 1)
-        name = strip(F.regexp_extract(core, r"(?is)^(.*?)(\[(?:DESC|DESCRIPTION|TYPE)\].*)?$", 1))
-        bare = let(name, lambda n: F.when((F.length(n) >= 2) & n.rlike(r"(?s)^('.*'|\".*\")$"), strip(F.substring(n, F.lit(2), F.length(n) - 2))).otherwise(n))
-        return F.when(core == "", "").otherwise(F.concat(F.lit("<"), F.concat_ws(" ", F.nullif(bare, F.lit("")), F.nullif(tail, F.lit(""))), F.lit(">")))
-
-    x = let(F.regexp_replace(strip(blank_if_null(x)), r"(?i)</?s>", " "), late)
-    x = let(markers(x), shaped)
-    return let(F.regexp_replace(collapse(x), r"^[ <>]+|[ <>]+$", ""), wrapped)
+        def parts(head: Column) -> Column:
+            tail = F.substr(core, F.length(head) + 1)
+            quoted = lambda n, q: F.startswith(n, F.lit(q)) & F.endswith(n, F.lit(q))
+            bare = let(F.trim(head), lambda n: F.when((F.length(n) >= 2) & (quoted(n, "'") | quoted(n, '"')), F.trim(F.substring(n, F.lit(2), F.length(n) - 2))).otherwise(n))
+            return F.concat(F.lit("<"), F.concat_ws(" ", let(bare, lambda n: F.nullif(n, F.lit(""))), let(tail, lambda t: F.nullif(t, F.lit("")))), F.lit(">"))
+
+        head = F.substring_index(F.substring_index(core, "[DESC]", 1), "[TYPE]", 1)
+        return F.when(core == "", "").otherwise(let(head, parts))
+
+    x = let(let(blank_if_null(x), edges), lambda x: F.when(has(x, "s>", "S>"), F.regexp_replace(x, r"(?i)</?s>", " ")).otherwise(x))
+    x = let(let(x, late), lambda x: F.when(has(x, "["), markers(x)).otherwise(x))
+    x = let(let(single(x), F.trim), shaped)
+    return let(F.btrim(x, F.lit(" <>")), wrapped)
 
 
 def constrained(pred: Column, candidates: Column) -> Column:

@@ -19,10 +19,13 @@ def pool_key(instruction: Column, input_seg: Column, question: Column) -> Column
 
 
 def reference_output(jobs: DataFrame, pool: DataFrame, key: str = "key", gold: str = "gold") -> DataFrame:
-    """The first pool output of a job's key whose answer is the gold one; jobs without any keep a null."""
-    same = jobs.select(key, gold).distinct().join(pool, key).where(R.answer_form(F.col("output")) == R.answer_form(F.col(gold)))
-    best = same.groupBy(key, gold).agg(F.min_by("output", "ord").alias("accept"))
-    return jobs.join(best, [key, gold], "left")
+    """The first pool output of a job's key whose answer is the gold one; jobs without any keep a null.
+
+    Answers are taken once per row and meet by their SHA-256, so a key's jobs never meet all of its pool; the pool's texts
+    move once, by that digest, and a job's row only when it has found its text."""
+    form = lambda c: F.sha2(R.answer_form(F.col(c)), 256)
+    best = pool.select(key, form("output").alias("__answer"), "output", "ord").groupBy(key, "__answer").agg(F.min_by("output", "ord").alias("accept"))
+    return jobs.withColumn("__answer", F.when(F.col(gold).isNotNull(), form(gold))).join(best, [key, "__answer"], "left").drop("__answer")
 
 
 def collapse_reason(accept: Column, reject: Column) -> Column:
