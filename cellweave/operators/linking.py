@@ -26,19 +26,17 @@ def link(jobs: DataFrame, kb: DataFrame, priors: DataFrame, top_k: int = 20, use
     sources = [exact(mentions, aliases, exact_limit)]
     if use_prefix:
         sources.append(prefix(mentions, aliases, prefix_limit))
-    found = full_text(mentions, kb, "qid", "body", text_limit) if use_full_text else None
-    if found is not None:
-        sources.append(found)
-    placed = top(merged(*sources), ["mention_norm"], [F.col("place")], most_entities, "nth").drop("place")
-    scaled = scale_bm25(found).select("mention_norm", "qid", "bm25") if found is not None else None
+    ranked = [s.withColumn("bm25", F.lit(None).cast("double")) for s in sources]
+    if use_full_text:
+        ranked.append(scale_bm25(full_text(mentions, kb, "qid", "body", text_limit)).select("mention_norm", "qid", "rank", "bm25"))
+    placed = top(merged(*ranked), ["mention_norm"], [F.col("place")], most_entities, "nth").drop("place")
     pairs = placed.join(kb, "qid").join(priors.select("mention_norm", "qid", "prior"), ["mention_norm", "qid"], "left")
-    pairs = pairs.join(scaled, ["mention_norm", "qid"], "left") if scaled is not None else pairs.withColumn("bm25", F.lit(0.0))
     m, label = F.col("mention_norm"), F.col("norm")
-    of_mention = {"exact": (label == m).cast("double"), "contains": F.contains(label, m).cast("double"), "sim": scoring.similarity(m, label), "prior": F.coalesce("prior", F.lit(0.0)), "bm25": F.coalesce("bm25", F.lit(0.0))}
-    pairs = pairs.select("mention_norm", "qid", "nth", "description_norm", "type_norm", *(c.alias(k) for k, c in of_mention.items()))
     own = lambda c: F.array_distinct(tokens(F.col(c)))
-    pairs = asked.join(pairs, "mention_norm").withColumn("type", scoring.type_match(F.col("column_norm"), F.col("type_norm")))
-    pairs = pairs.withColumn("ctx", scoring.jaccard(own("description_norm"), own("context_norm")))
+    of_mention = {"exact": (label == m).cast("double"), "contains": F.contains(label, m).cast("double"), "sim": scoring.similarity(m, label), "prior": F.coalesce("prior", F.lit(0.0)), "bm25": F.coalesce("bm25", F.lit(0.0))}
+    pairs = pairs.select("mention_norm", "qid", "nth", own("description_norm").alias("__description"), "type_norm", *(c.alias(k) for k, c in of_mention.items()))
+    pairs = asked.withColumn("__context", own("context_norm")).join(pairs, "mention_norm").withColumn("type", scoring.type_match(F.col("column_norm"), F.col("type_norm")))
+    pairs = pairs.withColumn("ctx", scoring.jaccard(F.col("__description"), F.col("__context")))
     scored = pairs.withColumn("score", F.round(scoring.candidate_score({k: F.col(k) for k in scoring.WEIGHTS}), 6))
     best = top(scored, ["mention_norm", "column_norm", "context_norm"], [F.col("score").desc(), F.col("nth")], top_k)
     return best.select("mention_norm", "column_norm", "context_norm", "qid", F.col("nth").alias("place"), "score", F.col("rank").cast("long").alias("rank"), *scoring.WEIGHTS)
