@@ -100,12 +100,32 @@ def _gram(x: Column, n: int):
     return lambda i: F.substring(x, i, F.lit(n))
 
 
+def gram_set(grams: Column) -> Column:
+    """struct(once, again, norm) of a gram array: its distinct grams, those of them that occur more than once beside how
+    often, and the length of the vector of counts. Only repeated grams are counted one by one."""
+    def of(g: Column) -> Column:
+        repeated = let(F.sort_array(g), lambda s: F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (x == F.get(s, i - 1)))))
+        again = F.map_from_entries(F.transform(repeated, lambda x: F.struct(x, F.size(F.filter(g, lambda h: h == x)).cast("double"))))
+        return let(F.struct(F.array_distinct(g).alias("once"), again.alias("again")), lambda r: F.struct(r["once"].alias("once"), r["again"].alias("again"), _norm(r).alias("norm")))
+
+    return let(grams, of)
+
+
+def _norm(r: Column) -> Column:
+    return F.sqrt(F.aggregate(F.map_values(r["again"]), F.size(r["once"]).cast("double"), lambda s, n: s + n * n - 1))
+
+
+def set_cosine(a: Column, b: Column) -> Column:
+    """Cosine of the counts of two gram sets: shared grams count one, repeated ones what their counts add to that."""
+    often = lambda r, g: F.coalesce(F.try_element_at(r["again"], g), F.lit(1.0))
+    more = F.array_union(F.map_keys(a["again"]), F.map_keys(b["again"]))
+    dot = let(F.array_intersect(a["once"], b["once"]), lambda both: F.aggregate(F.array_intersect(more, both), F.size(both).cast("double"), lambda s, g: s + often(a, g) * often(b, g) - 1))
+    return F.when((F.size(a["once"]) == 0) | (F.size(b["once"]) == 0), 0.0).otherwise(dot / (a["norm"] * b["norm"]))
+
+
 def gram_cosine(a: Column, b: Column) -> Column:
     """Cosine of the n-gram counts of two gram arrays."""
-    count = lambda of, g: F.size(F.filter(of, lambda h: h == g)).cast("double")
-    dot = F.aggregate(F.array_intersect(a, b), F.lit(0.0), lambda s, g: s + count(a, g) * count(b, g))
-    norm = lambda v: F.sqrt(F.aggregate(F.array_distinct(v), F.lit(0.0), lambda s, g: s + F.pow(count(v, g), F.lit(2.0))))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(dot / (norm(a) * norm(b)))
+    return let(gram_set(a), lambda x: let(gram_set(b), lambda y: set_cosine(x, y)))
 
 
 def name_cosine(a: Column, b: Column) -> Column:
@@ -117,11 +137,11 @@ def hard_negatives(candidates: Column, gold: Column, others: int) -> Column:
     """The gold answer, then the `others` candidates most like it by character n-grams, each once; of equal ones the
     first in the list."""
     inner = lambda c: collapse(F.lower(F.regexp_replace(c, r"(?s)^\s*<(.*)>\s*$", "$1")))
-    own = strip(gold)
+    grams = lambda c: let(inner(c), lambda x: gram_set(char_ngrams(x)))
 
-    def picked(of_gold: Column) -> Column:
+    def picked(own: Column, of_gold: Column) -> Column:
         rest = F.filter(F.array_distinct(candidates), lambda c: strip(c) != own)
-        ranked = F.transform(rest, lambda c, i: F.struct((-F.round(let(char_ngrams(inner(c)), lambda g: gram_cosine(g, of_gold)), 9)).alias("s"), i.alias("i"), c.alias("c")))
+        ranked = F.transform(rest, lambda c, i: F.struct((-F.round(let(grams(c), lambda g: set_cosine(g, of_gold)), 9)).alias("s"), i.alias("i"), c.alias("c")))
         return F.concat(F.array(own), F.transform(F.slice(F.array_sort(ranked), 1, others), lambda r: r["c"]))
 
-    return let(char_ngrams(inner(own)), picked)
+    return let(strip(gold), lambda own: let(grams(own), lambda of_gold: picked(own, of_gold)))
